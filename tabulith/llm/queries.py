@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm import substrings
+from tabulith.llm import langid, simhash, substrings
 from tabulith.llm._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(docs, joined=True).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identified(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup,)}
+    return {f.__name__: f for f in (op3_substring_dedup, op6_simhash_near_dedup, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
