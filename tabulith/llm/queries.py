@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm import langid, simhash, substrings
-from tabulith.llm._spark import table
+from tabulith.llm import langid, packing, simhash, substrings, tokens, trie_bpe
+from tabulith.llm._spark import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(docs, joined=True).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokens.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return tokens.with_crc(tokens.read_token_files(spark, path))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -28,8 +39,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = trie_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op6_simhash_near_dedup, op8_language_id)}
+    return {f.__name__: f for f in (op3_substring_dedup, op4_token_files, op5_best_fit_packing, op6_simhash_near_dedup, op8_language_id, op9_bpe_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
