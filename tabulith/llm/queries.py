@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm import langid, packing, simhash, substrings, tokens, trie_bpe
+from tabulith.llm import langid, packing, simhash, substrings, tokens, trie_bpe, voronoi
 from tabulith.llm._spark import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identified(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
@@ -45,7 +49,7 @@ def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op4_token_files, op5_best_fit_packing, op6_simhash_near_dedup, op8_language_id, op9_bpe_trie)}
+    return {f.__name__: f for f in (op3_substring_dedup, op4_token_files, op5_best_fit_packing, op6_simhash_near_dedup, op7_exact_top_k, op8_language_id, op9_bpe_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
