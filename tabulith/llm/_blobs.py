@@ -53,8 +53,9 @@ def split(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> Iter
 class Gather:
     """Columns gathered over several slices, emitted by bucket when there are enough."""
 
-    def __init__(self, n_buckets: int, encode: Callable[[list[np.ndarray]], bytes] = packed):
-        self.n_buckets, self.encode = n_buckets, encode
+    def __init__(self, n_buckets: int, encode: Callable[[list[np.ndarray]], bytes] = packed, thin: Callable[[list[np.ndarray]], np.ndarray] | None = None):
+        """thin: the places of the entries that are worth sending, of the columns of all gathered ones."""
+        self.n_buckets, self.encode, self.thin = n_buckets, encode, thin
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
@@ -69,6 +70,9 @@ class Gather:
         if self.parts:
             bucket, *columns = (np.concatenate(c) for c in zip(*self.parts, strict=True))
             self.parts, self.size = [], 0
+            if self.thin:
+                keep = self.thin(columns)
+                bucket, columns = bucket[keep], [c[keep] for c in columns]
             yield from batches((b, self.encode(c)) for b, c in split(bucket, self.n_buckets, columns))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm import langid, packing, simhash, substrings, tokens, trie_bpe, voronoi
+from tabulith.llm import langid, nndescent, packing, simhash, substrings, tokens, trie_bpe, voronoi
 from tabulith.llm._spark import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,12 @@ def op9_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op4_token_files, op5_best_fit_packing, op6_simhash_near_dedup, op7_exact_top_k, op8_language_id, op9_bpe_trie)}
+    return {f.__name__: f for f in (op3_substring_dedup, op4_token_files, op5_best_fit_packing, op6_simhash_near_dedup, op7_exact_top_k, op8_language_id, op9_bpe_trie, op10_nn_descent)}
 
 
 def oracle_sql() -> dict[str, str]:
