@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,10 +29,13 @@ from tabulith.llm import _spark
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Ids after which a block of the files is closed; a longer document has a block of its own.
 BLOCK_IDS = 1 << 16
+#: Bytes up to which the shards' sizes, a row for each file, are broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Parts that a worker keeps; twice as many at most.
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 450_000
 
-_stem = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-@\\[-`{-~].*)", re.DOTALL)
+#: ASCII digits and punctuation: what may follow the letters of a part.
+_TAIL = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalpha())
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -52,7 +54,7 @@ def parts_of(text: str) -> list[str]:
     first part, whose line feed is not of the text), or after a zero byte something irregular.
     """
     spaced = text.replace("\n", " ")
-    if " ".join(text.split()) == spaced:
+    if " ".join(text.split()) == spaced and "\0" not in text:
         return ("\n" + text).replace("\n", " \n")[1:].split(" ")
     out, held = ["\n"], ""
     for k, part in enumerate(text.split(" ")):
@@ -62,7 +64,7 @@ def parts_of(text: str) -> list[str]:
         else:
             held += " " * (k > 0) + part
     out.append(held)
-    return ["\n", *[c[1:] if c[0] == " " and c[1:].split() == [c[1:]] else "\0" + c for c in out[1:] if c]]
+    return ["\n", *[c[1:] if c[0] == " " and c[1:].split() == [c[1:]] and c[1] != "\0" else "\0" + c for c in out[1:] if c]]
 
 
 class Encoder:
@@ -75,7 +77,7 @@ class Encoder:
     def __init__(self) -> None:
         self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.feed = next(iter(self.units(["\n"])))
+        self.feed = self.units(["\0\n"])[0]
 
     def units(self, units: list[str]) -> list[bytes]:
         raise NotImplementedError
@@ -99,15 +101,15 @@ class Encoder:
         return out
 
     def _split(self, part: str) -> tuple[str, ...]:
-        """The units of a part, without its line feed."""
+        """The units of a part, without its line feed; an irregular one keeps its zero byte."""
         if part[0] == "\0":
-            return (part[1:],)
-        found = _stem.fullmatch(part)
+            return (part,)
         body = part[1:] if part[0] == "\n" else " " + part
-        if not found:
-            return (body,) if body else ()
-        tail = found[2]
-        return (body[: len(body) - len(tail)], tail)
+        stem = part.rstrip(_TAIL)
+        cut = len(part) - len(stem)
+        if cut and (stem[1:] if part[0] == "\n" else stem).isalpha():
+            return (body[:-cut], body[-cut:])
+        return (body,) if body else ()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [parts_of(t) if t else [] for t in texts]
@@ -163,11 +165,9 @@ class LibraryEncoder(Encoder):
     def units(self, units: list[str]) -> list[bytes]:
         """Units that begin with a space follow each other as one text, the others are lines of one; their first tokens tell them apart."""
         out: list[bytes] = [b""] * len(units)
-        spaced = [k for k, u in enumerate(units) if u[0] == " " and u[1:].split() == [u[1:]]]
-        among = set(spaced)
-        lines = [k for k, u in enumerate(units) if k not in among and u.split() == [u]]
-        among.update(lines)
-        odd = [k for k in range(len(units)) if k not in among]
+        spaced = [k for k, u in enumerate(units) if u[0] == " "]
+        lines = [k for k, u in enumerate(units) if u[0] not in " \0"]
+        odd = [k for k, u in enumerate(units) if u[0] == "\0"]
         for which, join in ((spaced, "".join), (lines, lambda x: "\n" + "\n".join(x))):
             for a in range(0, len(which), 2000):
                 some = which[a : a + 2000]
@@ -180,7 +180,7 @@ class LibraryEncoder(Encoder):
                 skip = 0 if which is spaced else 4
                 for k, i, j in zip(some, at[:-1], at[1:], strict=True):
                     out[k] = raw[i + skip : j]
-        for k, ids in zip(odd, self._ids([units[k] for k in odd]), strict=True):
+        for k, ids in zip(odd, self._ids([units[k].removeprefix("\0") for k in odd]), strict=True):
             out[k] = ids
         return out
 
@@ -285,6 +285,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    few = len(files.inputFiles()) < BROADCAST_BYTES // 64
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +297,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 parts = [ids[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(row["base"] + row["start"] + at[:-1]), pa.array(counts), pa.array(parts, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    placed = files.join(before, "shard")
+    placed = files.join(F.broadcast(before) if few else before, "shard")  # a row for each file
     return _spark.arrow_map(placed, unpack, "doc_id long, start long, n_tokens long, ids binary")
 
 

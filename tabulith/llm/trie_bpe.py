@@ -116,7 +116,7 @@ class TrieEncoder(tokens.Encoder):
     def units(self, units: list[str]) -> list[bytes]:
         pieces = []
         for unit in units:
-            own = []
+            unit, own = unit.removeprefix("\0"), []
             for part in self.special.split(unit) if any(t in unit for t in self.added) else [unit]:
                 if part in self.added:
                     own.append(part)
