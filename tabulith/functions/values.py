@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_timestamp(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row, however often f names it: nested rules stay small plans."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _part(text: Column, pattern: str, k: int) -> Column:
     return F.regexp_extract(text, pattern, k)
 
@@ -69,21 +75,25 @@ def resolved_currency(detected: Column, declared: Column) -> Column:
 
 def number(text: Column, locale: str | None = None) -> Column:
     """struct(value, locale, ambiguous) of a number written in some locale."""
-    compact = F.regexp_replace(F.regexp_replace(text, "[  $¥￥€£]", ""), "%+$", "")
-    comma, dot = F.locate(",", F.reverse(compact)), F.locate(".", F.reverse(compact))
     if locale in ("de-DE", "fr-FR"):
-        only = F.lit(",")
+        only = lambda p: F.lit(",")
     elif locale in ("en-US", "en-CA", "en-GB", "zh-CN"):
-        only = F.lit(".")
+        only = lambda p: F.lit(".")
     else:
-        only = F.when(comma == 4, ".").otherwise(",")
-    mark = F.when((comma > 0) & (dot > 0), F.when(comma < dot, ",").otherwise(".")).when(comma > 0, only).otherwise(".")
-    plain = F.when(mark == ",", F.replace(F.replace(compact, F.lit(".")), F.lit(","), F.lit("."))).otherwise(F.replace(compact, F.lit(",")))
-    value = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast(DECIMAL))
-    alone = (comma > 0) & (dot == 0)
-    guessed = F.lit(locale) if locale else F.when(alone & (comma != 4), F.lit("de-DE"))
-    doubtful = F.lit(False) if locale else F.coalesce(alone & (comma == 4) & value.isNotNull(), F.lit(False))
-    return F.struct(value.alias("value"), guessed.cast("string").alias("locale"), doubtful.alias("ambiguous"))
+        only = lambda p: F.when(p["comma"] == 4, ".").otherwise(",")
+
+    def read(p: Column) -> Column:
+        mark = F.when((p["comma"] > 0) & (p["dot"] > 0), F.when(p["comma"] < p["dot"], ",").otherwise(".")).when(p["comma"] > 0, only(p)).otherwise(".")
+        plain = F.when(mark == ",", F.replace(F.replace(p["s"], F.lit(".")), F.lit(","), F.lit("."))).otherwise(F.replace(p["s"], F.lit(",")))
+        alone = (p["comma"] > 0) & (p["dot"] == 0)
+        guessed = F.lit(locale) if locale else F.when(alone & (p["comma"] != 4), F.lit("de-DE"))
+        return let(plain, lambda t: told(F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast(DECIMAL)), guessed, alone & (p["comma"] == 4)))
+
+    def told(value: Column, guessed: Column, doubt: Column) -> Column:
+        return let(value, lambda v: F.struct(v.alias("value"), guessed.cast("string").alias("locale"), (F.lit(False) if locale else doubt & v.isNotNull()).alias("ambiguous")))
+
+    compact = F.regexp_replace(F.regexp_replace(text, "[\u00a0 $¥￥€£]", ""), "%+$", "")
+    return let(compact, lambda s: let(F.struct(s.alias("s"), F.locate(",", F.reverse(s)).alias("comma"), F.locate(".", F.reverse(s)).alias("dot")), read))
 
 
 def plain_decimal(value: Column) -> Column:
@@ -116,37 +126,45 @@ def infer(field: str, value: Column, locale: str | None = None) -> Column:
         )
     ymd = r"^(\d{4})\s*[年/-]\s*(\d{1,2})\s*[月/-]\s*(\d{1,2})\s*日?$"
     slash = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
-    whole = F.date_format(_date(*[_part(text, ymd, k) for k in (1, 2, 3)]), "yyyy-MM-dd")
-    a, b, y = (_part(text, slash, k) for k in (1, 2, 3))
-    small = (a.try_cast("int") <= 12) & (b.try_cast("int") <= 12)
-    month_first = F.lit(True) if locale in ("en-US", "en-CA") else (a.try_cast("int") <= 12) & (b.try_cast("int") > 12)
-    known = F.date_format(F.when(month_first, _date(y, a, b)).otherwise(_date(y, b, a)), "yyyy-MM-dd")
-    n = number(text, locale)
-    v = n["value"]
-    integral = v == F.floor(v)
-    out_ = empty.when(text.rlike(ymd) & whole.isNotNull(), out("date", 0.99, "zh-CN", val=whole)).when(text.rlike(ymd), out("date", 0.2, "zh-CN", ambiguous=True, reason="invalid_date"))
-    if locale not in ("en-US", "en-CA", "en-GB", "zh-CN"):
-        out_ = out_.when(text.rlike(slash) & small, out("date", 0.4, None, ambiguous=True, reason="ambiguous_day_month"))
-    out_ = out_.when(text.rlike(slash) & known.isNotNull(), out("date", 0.95 if locale else 0.9, val=known)).when(text.rlike(slash), out("date", 0.2, ambiguous=True, reason="invalid_date"))
-    if re.search(C.DATE_NAME, field):
-        day = F.date_format(F.date_add(F.to_date(F.lit(_EPOCH)), F.when(v.between(1, 2958465), v).cast("int")), "yyyy-MM-dd")
-        out_ = out_.when(v.between(1, 2958465) & integral, out("excel_serial_date", 0.94, val=day))
-    out_ = out_.when(v.isNotNull() & zeros, out("text_identifier", 0.7, val=text, reason="leading_zero_candidate"))
-    percent = F.endswith(text, F.lit("%"))
-    share = plain_decimal(F.when(percent, v / 100).otherwise(v))
-    as_percent = out("percentage", 0.96, n["locale"], "percent", share, n["ambiguous"])
-    out_ = out_.when(v.isNotNull() & (F.lit(bool(re.search(C.PERCENT_NAME, field))) | percent), as_percent)
-    money = F.lit(bool(re.search(C.CURRENCY_NAME, field))) | text.rlike("[$¥￥€£]")
-    out_ = out_.when(v.isNotNull() & money, out("decimal", 0.94, n["locale"], "currency", plain_decimal(v), n["ambiguous"]))
-    out_ = out_.when(v.isNotNull() & integral, out("integer", 0.88, n["locale"], None, plain_decimal(v), n["ambiguous"], "text_number"))
-    out_ = out_.when(v.isNotNull(), out("decimal", 0.88, n["locale"], None, plain_decimal(v), n["ambiguous"], "text_number"))
-    return out_.otherwise(out("text", 0.9, val=text))
+    shown = lambda d: F.date_format(d, "yyyy-MM-dd")
+    named = {k: bool(re.search(p, field)) for k, p in (("date", C.DATE_NAME), ("percent", C.PERCENT_NAME), ("money", C.CURRENCY_NAME))}
+
+    def slashed(t: Column) -> Column:
+        a, b, y = (_part(t, slash, k) for k in (1, 2, 3))
+        month_first = F.lit(locale in ("en-US", "en-CA")) | ((a.cast("int") <= 12) & (b.cast("int") > 12))
+        small = (a.cast("int") <= 12) & (b.cast("int") <= 12)
+        return F.when(t.rlike(slash), F.struct(small.alias("small"), shown(F.when(month_first, _date(y, a, b)).otherwise(_date(y, b, a))).alias("day")))
+
+    def ladder(p: Column) -> Column:
+        t, v, where, doubt = p["t"], p["n"]["value"], p["n"]["locale"], p["n"]["ambiguous"]
+        integral = v == F.floor(v)
+        rule = F.when(t.isNull() | (t == ""), out("empty", 1.0)).when(p["ymd"] & p["whole"].isNotNull(), out("date", 0.99, "zh-CN", val=p["whole"])).when(p["ymd"], out("date", 0.2, "zh-CN", ambiguous=True, reason="invalid_date"))
+        if locale not in ("en-US", "en-CA", "en-GB", "zh-CN"):
+            rule = rule.when(p["slash"]["small"], out("date", 0.4, None, ambiguous=True, reason="ambiguous_day_month"))
+        rule = rule.when(p["slash"]["day"].isNotNull(), out("date", 0.95 if locale else 0.9, val=p["slash"]["day"])).when(p["slash"].isNotNull(), out("date", 0.2, ambiguous=True, reason="invalid_date"))
+        if named["date"]:
+            day = shown(F.date_add(F.to_date(F.lit(_EPOCH)), F.when(v.between(1, 2958465), v).cast("int")))
+            rule = rule.when(v.between(1, 2958465) & integral, out("excel_serial_date", 0.94, val=day))
+        rule = rule.when(v.isNotNull() & t.rlike(r"^0\d+$"), out("text_identifier", 0.7, val=t, reason="leading_zero_candidate"))
+        percent = F.endswith(t, F.lit("%"))
+        share = plain_decimal(F.when(percent, v / 100).otherwise(v))
+        rule = rule.when(v.isNotNull() & (F.lit(named["percent"]) | percent), out("percentage", 0.96, where, "percent", share, doubt))
+        rule = rule.when(v.isNotNull() & (F.lit(named["money"]) | t.rlike("[$¥￥€£]")), out("decimal", 0.94, where, "currency", plain_decimal(v), doubt))
+        rule = rule.when(v.isNotNull() & integral, out("integer", 0.88, where, None, plain_decimal(v), doubt, "text_number"))
+        rule = rule.when(v.isNotNull(), out("decimal", 0.88, where, None, plain_decimal(v), doubt, "text_number"))
+        return rule.otherwise(out("text", 0.9, val=t))
+
+    def prepared(t: Column) -> Column:
+        whole = F.when(t.rlike(ymd), shown(_date(*[_part(t, ymd, k) for k in (1, 2, 3)])))
+        return F.struct(t.alias("t"), F.coalesce(t.rlike(ymd), F.lit(False)).alias("ymd"), whole.alias("whole"), slashed(t).alias("slash"), number(t, locale).alias("n"))
+
+    return let(text, lambda t: let(prepared(t), ladder))
 
 
 def review_reasons(least: float = C.LEAST_CONFIDENCE) -> Column:
     """Why a record needs review: missing fields in order, then the date, then its confidence; NaN counts as none."""
-    date = infer("event_date", F.col("event_date"))
     missing = [F.when(F.coalesce(F.trim(F.col(f)), F.lit("")) == "", F.lit(f"missing:{f}")) for f in C.REQUIRED]
-    dated = F.when(date["ambiguous"], F.concat(F.lit("ambiguous:event_date:"), date["reason"])).when(~date["type"].isin("date", "datetime", "excel_serial_date"), F.lit("invalid:event_date"))
+    wrong = lambda d: F.when(d["ambiguous"], F.concat(F.lit("ambiguous:event_date:"), d["reason"])).when(~d["type"].isin("date", "datetime", "excel_serial_date"), F.lit("invalid:event_date"))
+    dated = let(infer("event_date", F.col("event_date")), wrong)
     confidence = F.when(F.isnan("confidence"), 0.0).otherwise(F.coalesce("confidence", F.lit(0.0)))
     return F.array_compact(F.array(*missing, dated, F.when(confidence < least, F.lit("low_confidence"))))
