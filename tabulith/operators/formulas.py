@@ -36,7 +36,7 @@ def references(formula: Column) -> Column:
 def findings(cells: DataFrame, sheets: list[str]) -> DataFrame:
     """(sheet, cell, code) of what is wrong with formulas (column formula) and error literals (column value)."""
     f, names = F.coalesce("formula", F.lit("")), F.array(*map(F.lit, sheets)) if sheets else F.array().cast("array<string>")
-    used = F.transform(F.regexp_extract_all(f, F.lit(r"(?:'([^']+)'|([A-Za-z_][A-Za-z0-9_.]*))!"), F.lit(0)), lambda s: F.regexp_replace(s, "^'|'?!$", ""))
+    used = F.transform(F.regexp_extract_all(f, F.lit(r"(?<![#A-Za-z0-9_.])(?:'([^']+)'|([A-Za-z_][A-Za-z0-9_.]*))!"), F.lit(0)), lambda s: F.regexp_replace(s, "^'|'?!$", ""))
     lost = F.exists(used, lambda s: ~F.array_contains(names, s))
     outside = f.rlike(r"\[[^\]]+\]")
     codes = F.array_compact(

@@ -336,8 +336,8 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.table(spark, sf_dir, "part").select(F.lit("part").alias("sheet"), F.col("p_partkey").alias("row"), F.lit(1).alias("col"), value.alias("value"))
 
 
-@query(f"""WITH {_CELL}, w AS (SELECT row, value, CAST(len(value) - len(regexp_replace(value, '^\\s+', '')) AS INT) AS leading, CAST(len(value) - len(regexp_replace(value, '\\s+$', '')) AS INT) AS trailing, regexp_matches(value, '\\S {{2,}}\\S') AS repeated FROM cells)
-  SELECT *, regexp_replace(trim(value), ' {{2,}}', ' ', 'g') AS candidate FROM w WHERE leading > 0 OR trailing > 0 OR repeated""")
+@query(f"""WITH {_CELL}, w AS (SELECT row, value, CAST(len(value) - len(regexp_replace(value, '^\\s+', '')) AS INT) AS "leading", CAST(len(value) - len(regexp_replace(value, '\\s+$', '')) AS INT) AS "trailing", regexp_matches(value, '\\S {{2,}}\\S') AS repeated FROM cells)
+  SELECT *, regexp_replace(trim(value), ' {{2,}}', ' ', 'g') AS candidate FROM w WHERE "leading" > 0 OR "trailing" > 0 OR repeated""")
 def health_whitespace(spark, sf_dir):
     return health.whitespace_findings(_cells(spark, sf_dir)).select("row", "value", "leading", "trailing", "repeated", "candidate")
 
@@ -364,10 +364,10 @@ def health_blank_islands(spark, sf_dir):
     return health.islands(rows, "sheet", "r")
 
 
-@query("""WITH c AS (SELECT DISTINCT l_suppkey AS sheet, l_orderkey AS row FROM lineitem), g AS (SELECT *, lead(row) OVER (PARTITION BY sheet ORDER BY row) AS nxt FROM c),
+@query("""WITH c AS (SELECT DISTINCT l_partkey AS sheet, l_orderkey AS row FROM lineitem), g AS (SELECT *, lead(row) OVER (PARTITION BY sheet ORDER BY row) AS nxt FROM c),
   m AS (SELECT sheet, coalesce(min(row) FILTER (nxt - row > 50), max(row)) AS lim FROM g GROUP BY 1) SELECT c.sheet, count(*) AS beyond, min(lim) AS "limit" FROM c JOIN m USING (sheet) WHERE row > lim GROUP BY 1""")
 def health_gap_outliers(spark, sf_dir):
-    cells = M.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_orderkey").alias("row")).distinct()
+    cells = M.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sheet"), F.col("l_orderkey").alias("row")).distinct()
     return health.outliers(cells).groupBy("sheet").agg(F.count("*").alias("beyond"), F.min("limit").alias("limit"))
 
 
@@ -384,11 +384,11 @@ def health_mixed_formats(spark, sf_dir):
     return health.mixed_formats(rows).select("sheet", "col", F.array_join("formats", "|").alias("formats"))
 
 
-@query("""WITH m AS (SELECT r_name AS sheet, r_regionkey + 1 AS r1, r_regionkey + 3 AS r2 FROM region), c AS (SELECT r_name AS sheet, n_nationkey AS row, x AS col FROM nation JOIN region ON n_regionkey = r_regionkey, range(4) t(x))
+@query("""WITH m AS (SELECT r_name AS sheet, r_regionkey AS r1, r_regionkey + 10 AS r2 FROM region), c AS (SELECT r_name AS sheet, n_nationkey AS row, x AS col FROM nation JOIN region ON n_regionkey = r_regionkey, range(4) t(x))
   SELECT c.sheet, c.row, CAST(c.col AS INT) AS col FROM c JOIN m ON c.sheet = m.sheet AND c.row BETWEEN r1 AND r2 AND c.col BETWEEN 1 AND 2 WHERE NOT (c.row = r1 AND c.col = 1)""")
 def health_merged_followers(spark, sf_dir):
     region, nation = M.table(spark, sf_dir, "region"), M.table(spark, sf_dir, "nation")
-    merges = region.select(F.col("r_name").alias("sheet"), (F.col("r_regionkey") + 1).alias("row1"), F.lit(1).alias("col1"), (F.col("r_regionkey") + 3).alias("row2"), F.lit(2).alias("col2"))
+    merges = region.select(F.col("r_name").alias("sheet"), F.col("r_regionkey").alias("row1"), F.lit(1).alias("col1"), (F.col("r_regionkey") + 10).alias("row2"), F.lit(2).alias("col2"))
     cells = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("sheet"), F.col("n_nationkey").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("col"))
     return health.merged_followers(cells, merges)
 
@@ -475,7 +475,7 @@ def currency_policy(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'A' || CAST(n_nationkey AS VARCHAR) AS cell, 'A' || CAST(CASE WHEN n_nationkey % 5 = 4 THEN n_nationkey - 4 + CASE WHEN n_nationkey > 10 THEN 5 ELSE 0 END ELSE n_nationkey + 1 END AS VARCHAR) AS needs FROM nation),
-  r(start, at, n) AS (SELECT cell, needs, 1 FROM e UNION ALL SELECT r.start, e.needs, r.n + 1 FROM r JOIN e ON r.at = e.cell WHERE r.n < 64 AND r.at <> r.start) SELECT DISTINCT start AS cell FROM r WHERE start = at""")
+  r(home, pos, n) AS (SELECT cell, needs, 1 FROM e UNION ALL SELECT r.home, e.needs, r.n + 1 FROM r JOIN e ON r.pos = e.cell WHERE r.n < 64 AND r.pos <> r.home) SELECT DISTINCT home AS cell FROM r WHERE home = pos""")
 def formula_cycles(spark, sf_dir):
     k = F.col("n_nationkey")
     to = F.when(k % 5 == 4, k - 4 + F.when(k > 10, 5).otherwise(0)).otherwise(k + 1)
