@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulith.contract import SYNONYMS
 
@@ -18,12 +19,12 @@ def header(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.replace(F.coalesce(value, F.lit("")), F.lit("_"), F.lit(" "))), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_alnum(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKC", v).casefold() if c.isalnum()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
 
@@ -72,9 +73,8 @@ def version_key(name: Column, rounds: int = 4) -> Column:
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
     base = stem
     for _ in range(rounds):
-        for pattern in _DECORATIONS:
-            base = F.trim(F.regexp_replace(base, pattern, ""))
-    base = F.when(base == "", F.trim(stem)).otherwise(base)
+        for pattern in _DECORATIONS:  # after something, so that a name of decorations alone keeps one
+            base = F.trim(F.regexp_replace(base, r"(?<=[^\s_-])" + pattern, ""))
     return F.lower(F.trim(F.regexp_replace(base, r"[\s_-]+", " ")))
 
 

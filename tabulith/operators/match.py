@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulith import contract as C
 from tabulith.functions import text as X
@@ -57,7 +58,7 @@ def tiers(values: DataFrame, destinations: DataFrame) -> DataFrame:
     return best.select("location", "m.rule", "m.rule_rank", "m.candidates")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(values: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(values, names, strict=True)], dtype="float64")
 
