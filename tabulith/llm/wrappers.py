@@ -197,6 +197,9 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
     counts = votes.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= FEWEST)
     agreed = votes.select("host", F.explode(F.array_distinct("leaves")).alias("leaf")).where("leaf >= 0").groupBy("host", "leaf").count()
     constant = agreed.join(counts, "host").where(F.col("count") >= CONSTANT * F.col("n")).groupBy("host").agg(F.collect_list("leaf").alias("template"))
+    constant = _spark.stored(constant, "templates")
+    if _spark.plan_bytes(constant) <= broadcast_bytes:  # the written table's size
+        constant = F.broadcast(constant)
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", b.leaf), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n\n")
     return got.join(constant, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
