@@ -32,7 +32,7 @@ BLOCK_IDS = 1 << 16
 #: Bytes up to which the shards' sizes, a row for each file, are broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Parts that a worker keeps; twice as many at most.
-KEPT_CHUNKS = 450_000
+KEPT_CHUNKS = 350_000
 
 #: ASCII digits and punctuation: what may follow the letters of a part.
 _TAIL = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalpha())

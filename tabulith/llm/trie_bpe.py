@@ -2,7 +2,8 @@
 
 The last token of a word's encoding is the only token t that ends the word such that t may follow
 the last token of what stands before it: the pair is encoded as just these two tokens. So a prefix
-needs no more state than its last token. The distinct words of a batch, sorted, are a trie walked
+needs no more state than its last token. The candidates are the tokens that end there, found by an
+automaton over the vocabulary. The distinct words of a batch, sorted, are a trie walked
 depth first: the path of last tokens is kept, each word goes on from the prefix that it shares with
 the word before, and a prefix that many words share is encoded once. Whether two tokens may follow
 each other is found once by merging their bytes.
@@ -51,9 +52,9 @@ class TrieEncoder(tokens.Encoder):
             self.rank[raw[a], raw[b]] = k
         self.added = {t["content"]: t["id"] for t in about["added_tokens"]}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
-        self.longest = max(map(len, self.ids))
-        self.single: dict[bytes, bool] = {}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.follows: dict[int, bool] = {}
+        self.lengths = {i: len(b) for i, b in self.bytes_of.items()}
+        self._suffixes()
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split = regex.compile(SPLIT)
         super().__init__()
@@ -68,49 +69,100 @@ class TrieEncoder(tokens.Encoder):
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def _whole(self, token: bytes) -> bool:
-        """Whether the token's own bytes encode as it: others are never made."""
-        got = self.single.get(token)
-        if got is None:
-            got = self.single[token] = self.merged(token) == [token]
+    def _suffixes(self) -> None:
+        """States for the longest end of what was read that begins some token (breadth first, with fallbacks)."""
+        self.goto: dict[int, int] = {}
+        self.fall, self.token_at = [0], [-1]
+        for token, i in self.ids.items():
+            state = 0
+            for byte in token:
+                to = self.goto.get(state << 8 | byte)
+                if to is None:
+                    to = self.goto[state << 8 | byte] = len(self.fall)
+                    self.fall.append(0)
+                    self.token_at.append(-1)
+                state = to
+            self.token_at[state] = i
+        below: dict[int, list[tuple[int, int]]] = {}
+        for edge, to in self.goto.items():
+            below.setdefault(edge >> 8, []).append((edge & 255, to))
+        level = [to for _, to in below.get(0, ())]
+        while level:
+            deeper = []
+            for state in level:
+                for byte, to in below.get(state, ()):
+                    back = self.fall[state]
+                    while back and (back << 8 | byte) not in self.goto:
+                        back = self.fall[back]
+                    self.fall[to] = self.goto.get(back << 8 | byte, 0)
+                    deeper.append(to)
+            level = deeper
+        self.moves = dict(self.goto)
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.fall)
+        self.ends[0] = ()
+
+    def _move(self, state: int, byte: int) -> int:
+        start = state
+        while (to := self.goto.get(state << 8 | byte)) is None and state:
+            state = self.fall[state]
+        to = self.moves[start << 8 | byte] = to or 0
+        return to
+
+    def _ends(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(id, length) of the tokens that end here, the longest first; those whose own bytes encode otherwise are never made."""
+        chain, at = [], state
+        while self.ends[at] is None:
+            chain.append(at)
+            at = self.fall[at]
+        got = self.ends[at]
+        for at in reversed(chain):
+            i = self.token_at[at]
+            if i >= 0 and self.merged(self.bytes_of[i]) == [self.bytes_of[i]]:
+                got = ((i, len(self.bytes_of[i])), *got)
+            self.ends[at] = got
         return got
 
-    def _may_follow(self, before: bytes, token: bytes) -> bool:
-        got = self.follows.get((before, token))
-        if got is None:
-            if len(self.follows) > 500_000:
-                self.follows.clear()
-            got = self.follows[before, token] = self.merged(before + token) == [before, token]
+    def _may_follow(self, before: int, token: int) -> bool:
+        if len(self.follows) > 1_000_000:
+            self.follows.clear()
+        a, b = self.bytes_of[before], self.bytes_of[token]
+        got = self.follows[before << 32 | token] = self.merged(a + b) == [a, b]
         return got
 
-    def words(self, words: list[bytes]) -> dict[bytes, list[bytes]]:
-        """The tokens of distinct words."""
-        ids, longest, follows = self.ids, self.longest, self.follows
-        out, last, path = {}, [b""], b""
+    def words(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """The ids of distinct words."""
+        moves, ends, follows, lengths = self.moves, self.ends, self.follows, self.lengths
+        out, path = {}, b""
+        states, last = [0], [-1]
         for word in sorted(words):
             shared = 0
             for a, b in zip(path, word, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = word[start:end]
-                    if token in ids and self._whole(token):
-                        if start == 0:
-                            break
-                        ok = follows.get((last[start], token))
-                        if ok or (ok is None and self._may_follow(last[start], token)):
-                            break
+                byte = word[end - 1]
+                to = moves.get(state << 8 | byte)
+                state = self._move(state, byte) if to is None else to
+                found = ends[state]
+                for token, length in self._ends(state) if found is None else found:
+                    if length == end:
+                        break
+                    before = last[end - length]
+                    ok = follows.get(before << 32 | token)
+                    if ok or (ok is None and self._may_follow(before, token)):
+                        break
                 else:
                     raise ValueError("the vocabulary has no token for a byte")
                 last.append(token)
-            path, at, found = word, len(word), []
+                states.append(state)
+            path, at, ids = word, len(word), []
             while at:
-                found.append(last[at])
-                at -= len(last[at])
-            out[word] = found[::-1]
+                ids.append(last[at])
+                at -= lengths[last[at]]
+            out[word] = ids[::-1]
         return out
 
     def units(self, units: list[str]) -> list[bytes]:
@@ -124,7 +176,7 @@ class TrieEncoder(tokens.Encoder):
                     own += [w.encode() for w in self.split.findall(part)]
             pieces.append(own)
         distinct = {w for own in pieces for w in own if isinstance(w, bytes)}
-        of = {w: np.array([self.ids[t] for t in got], "<u4").tobytes() for w, got in self.words(list(distinct)).items()}
+        of = {w: np.array(got, "<u4").tobytes() for w, got in self.words(list(distinct)).items()}
         special = {t: np.array([i], "<u4").tobytes() for t, i in self.added.items()}
         return [b"".join([special[w] if isinstance(w, str) else of[w] for w in own]) for own in pieces]
 
