@@ -31,14 +31,15 @@ from tabulith.llm.voronoi import finite, matrix
 
 K = 32
 TREES, LEAF = 4, 256
-ROUNDS = 6
+ROUNDS = 9
 #: Reverse neighbours that a vector meets in a round, by a hash of the pair; the graph is approximate anyhow.
 REVERSE = 24
 #: Rounds end when less than this share of neighbours changed.
 SETTLED = 0.005
 #: Vectors that a query keeps, those that it opens in a step, and the most steps.
-BEAM, OPENED, STEPS = 160, 24, 8
-BUCKET_ROWS = 2048
+BEAM, OPENED, STEPS = 224, 32, 8
+#: Vectors to a bucket. Blobs go from every task to every bucket, so there are no more buckets than these fill.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 512, 8, 65_536
 
 
 def _save(x: object) -> bytes:
@@ -195,8 +196,7 @@ def build(rows: DataFrame, dim: int, n: int, most: float, k: int = K, rounds: in
     A bucket: ids, vectors, neighbours (ids, scores, whether new) as arrays of k columns; missing
     neighbours score -inf.
     """
-    spark = rows.sparkSession
-    n_buckets = _spark.buckets(spark, n, BUCKET_ROWS)
+    n_buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_ROWS))
     found = None
     for tree in range(TREES):
         more = _partners(_leaves(rows, dim, n, tree, most), dim, n_buckets, k, most)
@@ -359,7 +359,6 @@ def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int,
 
     The vector of a query's own id is not returned but may be its entry. Ties go to the smaller vec_id.
     """
-    spark = state.sparkSession
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
