@@ -268,8 +268,8 @@ def test_licences(spark):
     assert (a.n_base, a.first_word, a.last_word, a.base_labels, a.score) == (2, 0, 4, "mit", 1.0)
     assert (got[2, 7].n_base, got[2, 7].first_word, got[2, 7].last_word) == (2, 1, 4)
     assert (got[3, 8].base_labels, got[3, 8].labels, got[4, 0].labels, got[5, 0].score) == ("apache-2", "apache-2", "", 0.0)
-    assert got[6, 7].labels == "" and "gpl" in got[7, 11].labels.split(",") and got[8, 4].n_base == got[9, 4].n_base == 0
-    assert got[10, 17].labels == "mit" and 0.8 <= got[10, 17].score < 1
+    assert got[6, 7].labels == "" and "gpl" in got[7, 12].labels.split(",") and got[8, 4].n_base == got[9, 4].n_base == 0
+    assert got[10, 16].labels == "mit" and 0.8 <= got[10, 16].score < 1
 
 
 def page(body, head=""):
