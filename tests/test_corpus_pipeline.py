@@ -1,0 +1,81 @@
+"""Stages of the pipeline against plain Python."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tabulith.llm import resemblance
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingled(text, n=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b) if a or b else True
+
+
+def rows_of_near_copies():
+    """(doc_id, text): copies with words exchanged to similarities around 0.8, chains, copies, repeated and missing ids, no words."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(40, 300))]
+        out.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            base = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 30))):
+                base[rng.randrange(len(base))] = rng.choice(words)
+            out.append(" ".join(base))
+    out += [out[0], out[0].upper(), out[3], None, "", " \t", "one two", "ONE  two", "one two three"]
+    ids = list(range(1, len(out) + 1))
+    rng.shuffle(ids)
+    rows = list(zip(ids, out, strict=True))
+    return [*rows, (rows[0][0], "another text under an id that is taken already"), (rows[1][0], rows[1][1]), (None, rows[0][1]), (None, None)]
+
+
+def kept_of(rows):
+    sets = [shingled(t) for _, t in rows]
+    left = {k for k, (i, _) in enumerate(rows) if i is not None}
+    out = [rows[k] for k in range(len(rows)) if k not in left]
+    while left:
+        group, queue = set(), [left.pop()]
+        while queue:
+            group.add(x := queue.pop())
+            near = {k for k in left if similar(sets[x], sets[k])}
+            left -= near
+            queue += near
+        least = min(rows[k][0] for k in group)
+        out.append((least, {rows[k][1] for k in group if rows[k][0] == least}))
+    return out
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in rows], DOC)
+
+
+def test_near_dedup(spark, sf_dir):
+    rows = rows_of_near_copies()
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs_of(spark, rows), sf_dir).collect())
+    want = sorted(((i or 0, t) for i, t in kept_of(rows)), key=lambda x: (x[0], str(x[1])))
+    assert len(got) == len(want) < len(rows) - 60
+    open_ = list(want)
+    for i, t in got:
+        open_.remove(next(w for w in open_ if w[0] == i and (t in {x or "" for x in w[1]} if isinstance(w[1], set) else t == (w[1] or ""))))
+    assert not open_
+    assert corpus_pipeline.near_dedup(spark, docs_of(spark, rows).limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("shared", [88, 89])
+def test_similarity_is_exact(shared):
+    a = np.arange(100, dtype=np.uint64)
+    b = np.concatenate((a[:shared], np.arange(1000, 1100 - shared, dtype=np.uint64)))
+    assert len(set(resemblance.grown([a, b]).tolist())) == (1 if shared == 89 else 2)
