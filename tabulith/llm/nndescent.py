@@ -31,13 +31,12 @@ from tabulith.llm.voronoi import finite, matrix
 
 K = 32
 TREES, LEAF = 4, 256
-ROUNDS = 9
 #: Reverse neighbours that a vector meets in a round, by a hash of the pair; the graph is approximate anyhow.
 REVERSE = 24
-#: Rounds end when less than this share of neighbours changed.
+#: Rounds end when less than this share of neighbours changed, however many they are: scores only rise.
 SETTLED = 0.005
-#: Vectors that a query keeps, those that it opens in a step, and the most steps.
-BEAM, OPENED, STEPS = 224, 32, 8
+#: Vectors that a query keeps and those that it opens in a step.
+BEAM, OPENED = 224, 32
 #: Vectors to a bucket. Blobs go from every task to every bucket, so there are no more buckets than these fill.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 512, 8, 65_536
 
@@ -190,7 +189,7 @@ def _unit(batches: list[pa.RecordBatch], dim: int, most: float) -> tuple[np.ndar
     return np.asarray(table.column("vec_id")), _lifted(v, most)
 
 
-def build(rows: DataFrame, dim: int, n: int, most: float, k: int = K, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
+def build(rows: DataFrame, dim: int, n: int, most: float, k: int = K) -> tuple[DataFrame, int]:
     """The graph of n rows (vec_id, v) of one length and norms up to most, as packed buckets, and their number.
 
     A bucket: ids, vectors, neighbours (ids, scores, whether new) as arrays of k columns; missing
@@ -220,10 +219,9 @@ def build(rows: DataFrame, dim: int, n: int, most: float, k: int = K, rounds: in
 
     owned = _spark.arrow_map(rows.select("vec_id", "v"), own, _blobs.SCHEMA)
     state = _spark.stored(owned.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(start, _blobs.SCHEMA), "graph")
-    for _ in range(rounds):
+    changed = n * k
+    while changed and changed >= SETTLED * n * k:
         state, changed = _round(state, dim, n_buckets, k, most)
-        if changed < SETTLED * n * k:
-            break
     return state, n_buckets
 
 
@@ -341,23 +339,29 @@ def _entry(query: int, q: np.ndarray, want: np.ndarray) -> dict:
 
 
 def _stepped(x: dict, node: np.ndarray, score: np.ndarray, links: np.ndarray, beam: int, opened: int) -> None:
-    """The beam with the vectors that came back; want: what the best unopened ones point at and was not met."""
+    """The beam with the vectors that came back; want: what the best unopened ones point at and was not met.
+
+    Where these lead to nothing new the next ones are opened; want is empty only if all of the beam are open.
+    """
     node, score = np.concatenate((x["node"], node)), np.concatenate((x["score"], score))
     links = links if x["links"] is None else np.concatenate((x["links"], links))
     done = np.concatenate((x["opened"], np.zeros(len(node) - len(x["node"]), bool)))
     top = np.lexsort((node, -score))[:beam]
     node, score, links, done = node[top], score[top], links[top], done[top]
-    now = np.flatnonzero(~done)[:opened]
-    want = np.unique(links[now])
-    x["want"] = np.setdiff1d(want[want >= 0], x["seen"], assume_unique=True)
-    done[now] = True
-    x |= {"node": node, "score": score, "links": links, "opened": done, "seen": np.union1d(x["seen"], x["want"])}
+    new = np.zeros(0, np.int64)
+    while not len(new) and not done.all():
+        now = np.flatnonzero(~done)[:opened]
+        want = np.unique(links[now])
+        new = np.setdiff1d(want[want >= 0], x["seen"], assume_unique=True)
+        done[now] = True
+    x |= {"node": node, "score": score, "links": links, "opened": done, "want": new, "seen": np.union1d(x["seen"], new)}
 
 
-def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int, beam: int = BEAM, opened: int = OPENED, steps: int = STEPS) -> DataFrame:
+def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int, beam: int = BEAM, opened: int = OPENED) -> DataFrame:
     """(query_id, rank, vec_id, score) for asked (query_id, q, entry array<long>): the k nearest found from the entries on.
 
-    The vector of a query's own id is not returned but may be its entry. Ties go to the smaller vec_id.
+    A walk ends when all of its beam are open. The vector of a query's own id is not returned but may be its entry.
+    Ties go to the smaller vec_id.
     """
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,6 +413,8 @@ def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int,
                 got = back.get(x["query"])
                 if got:
                     _stepped(x, *(np.concatenate(c) for c in zip(*got, strict=True)), beam, opened)
+                elif x["links"] is not None:  # none that it asked for is good enough
+                    _stepped(x, x["node"][:0], x["score"][:0], x["links"][:0], beam, opened)
                 else:
                     x["want"] = np.zeros(0, np.int64)
             rows.append(bucket)
@@ -429,7 +435,7 @@ def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int,
 
     now = _spark.stored(_spark.arrow_map(asked.select("query_id", "q", "entry"), begin, _blobs.SCHEMA), "beams")
     graph = state.select("bucket", "blob")
-    for _ in range(steps):
+    while True:
         wanted = _spark.arrow_map(now.select("bucket", "blob"), ask, _blobs.SCHEMA)
         back = graph.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(answer, _blobs.SCHEMA)
         now = _spark.stored(now.select("bucket", "blob").groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(step, _blobs.SCHEMA + ", open long"), "beams")

@@ -66,3 +66,21 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 6: 6, **{k: 6 for k in range(100, 140)}}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_graph_and_walk_go_on_until_they_settle(spark, rows, monkeypatch):
+    x = nndescent._entry(1, np.zeros(2), np.array([1, 2, 3]))
+    nndescent._stepped(x, np.array([1, 2, 3]), np.array([3.0, 2.0, 1.0]), np.array([[2, 3], [1, 3], [9, -1]]), beam=3, opened=1)
+    assert x["want"].tolist() == [9] and x["opened"].all()
+    vectors = spark.createDataFrame([(i, v) for i, v, _ in rows], "vec_id long, v array<double>")
+    v = np.array([v for _, v, _ in rows], np.float64)
+    most = float(np.sqrt((v**2).sum(1)).max())
+    state, n_buckets = nndescent.build(vectors, 16, len(rows), most)
+    asked = vectors.where("vec_id = 0").selectExpr("vec_id as query_id", "v as q", "array(vec_id) as entry")
+    want = [int(i) for i in np.argsort(-(v @ v[0]), kind="stable") if i != 0][:20]
+    got = [r.vec_id for r in nndescent.search(state, 16, n_buckets, asked, 20, opened=4).orderBy("rank").collect()]
+    assert len(set(got) & set(want)) >= 18
+    turns = iter([len(rows) * nndescent.K] * 14 + [1])
+    monkeypatch.setattr(nndescent, "_round", lambda state, *_: (state, next(turns)))
+    nndescent.build(vectors, 16, len(rows), most)
+    assert next(turns, None) is None
