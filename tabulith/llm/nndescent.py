@@ -4,7 +4,8 @@ The graph has for each vector its K best partners found. It starts from exact pa
 leaves of random-hyperplane trees, and is improved by joins of neighbours of neighbours: each vector
 goes to its neighbours and to those that it is a neighbour of; there all that met, of which one is
 new, are compared, and the better ones go back to their vectors. What has not changed is not
-compared again. Rounds end when few vectors find anything better.
+compared again. How many meet at a vector is bounded; a link stays new at either end until it was
+among those that met there. Rounds end when few vectors find anything better.
 
 A query walks the graph: the best vectors that it has met and not yet opened are opened, what they
 point at is compared with it, until the best stay as they are. Compared are 8-bit codes while the
@@ -33,6 +34,8 @@ K = 32
 TREES, LEAF = 4, 256
 #: Reverse neighbours that a vector meets in a round, by a hash of the pair; the graph is approximate anyhow.
 REVERSE = 24
+#: What a link has before it: to be met where it starts, where it ends. The two flags of a new link, and no flag of an old one.
+NEAR, FAR = 1, 2
 #: Rounds end when less than this share of neighbours changed, however many they are: scores only rise.
 SETTLED = 0.005
 #: Vectors that a query keeps and those that it opens in a step.
@@ -192,7 +195,7 @@ def _unit(batches: list[pa.RecordBatch], dim: int, most: float) -> tuple[np.ndar
 def build(rows: DataFrame, dim: int, n: int, most: float, k: int = K) -> tuple[DataFrame, int]:
     """The graph of n rows (vec_id, v) of one length and norms up to most, as packed buckets, and their number.
 
-    A bucket: ids, vectors, neighbours (ids, scores, whether new) as arrays of k columns; missing
+    A bucket: ids, vectors, neighbours (ids, scores, flags of what is new) as arrays of k columns; missing
     neighbours score -inf.
     """
     n_buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_ROWS))
@@ -214,31 +217,49 @@ def build(rows: DataFrame, dim: int, n: int, most: float, k: int = K) -> tuple[D
         ids, *v = _joined(_gathered(left))
         order = np.argsort(ids.view(np.int64))
         ids, v = ids.view(np.int64)[order], np.stack(v, 1).view(np.float64).reshape(len(order), dim)[order]
-        state = [ids, v, np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf, np.float32), np.zeros((len(ids), k), bool)]
+        state = [ids, v, np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf, np.float32), np.zeros((len(ids), k), np.uint8)]
         return _rows_of(left.column("bucket")[0].as_py(), _save(_merged(state, right, k)[0]))
 
     owned = _spark.arrow_map(rows.select("vec_id", "v"), own, _blobs.SCHEMA)
     state = _spark.stored(owned.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(start, _blobs.SCHEMA), "graph")
-    changed = n * k
+    changed, turn = n * k, 0
     while changed and changed >= SETTLED * n * k:
-        state, changed = _round(state, dim, n_buckets, k, most)
+        state, changed = _round(state, dim, n_buckets, k, most, turn)
+        turn += 1
     return state, n_buckets
 
 
+def _cleared(ids: np.ndarray, node: np.ndarray, new: np.ndarray, owner: np.ndarray, other: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """The flags without those of the links (owner, other) that were met."""
+    new = new.copy()
+    for kind in (NEAR, FAR):
+        at = np.searchsorted(ids, owner[flag == kind])
+        r, c = np.nonzero(node[at] == other[flag == kind][:, None])
+        new[at[r], c] &= ~np.uint8(kind)
+    return new
+
+
 def _merged(state: list[np.ndarray], updates: pa.Table, k: int) -> tuple[list[np.ndarray], int]:
-    """The state with the better of its neighbours and the updates (owner, node, score), and the number of new ones."""
+    """The state with the better of its neighbours and the updates, and the number of new ones.
+
+    Updates: (owner, node, score), of a round also flag: 0, or which flag of the link is done with.
+    """
     ids, v, node, score, new = state
     parts = _gathered(updates)
     if not parts:
         return state, 0
-    owner, other, s = _joined(parts)
+    owner, other, s, *flag = _joined(parts)
+    if flag:
+        met = flag[0] > 0
+        new = _cleared(ids, node, new, owner[met].view(np.int64), other[met].view(np.int64), flag[0][met])
+        owner, other, s = owner[~met], other[~met], s[~met]
     at = np.searchsorted(ids, owner.view(np.int64))
     have = score.ravel() > -np.inf
     owners = np.concatenate((np.repeat(np.arange(len(ids)), k)[have], at))
     nodes = np.concatenate((node.ravel()[have], other.view(np.int64)))
     scores = np.concatenate((score.ravel()[have], s.view(np.float32)))
     tags = np.concatenate((np.zeros(have.sum(), np.int8), np.ones(len(at), np.int8)))
-    fresh = np.concatenate((new.ravel()[have], np.ones(len(at), bool)))
+    fresh = np.concatenate((new.ravel()[have], np.full(len(at), NEAR | FAR, np.uint8)))
     keep = _best(owners, nodes, scores, k, tags)
     o = owners[keep]
     first = np.searchsorted(o, np.arange(len(ids)))
@@ -248,14 +269,16 @@ def _merged(state: list[np.ndarray], updates: pa.Table, k: int) -> tuple[list[np
     return [ids, v, node, score, new], int(tags[keep].sum())
 
 
-def _round(state: DataFrame, dim: int, n_buckets: int, k: int, most: float) -> tuple[DataFrame, int]:
+def _round(state: DataFrame, dim: int, n_buckets: int, k: int, most: float, turn: int = 0) -> tuple[DataFrame, int]:
     """One join of neighbours of neighbours."""
 
     def few(columns: list[np.ndarray]) -> np.ndarray:
         """Of (vector, other, .., new) the bounded number for each vector, new ones first: a hub gets no more from a task."""
         at, other, fresh = columns[0], columns[1], columns[-1 if len(columns) == 3 else 3]
-        luck = mixed(at * np.uint64(31) + other).astype(np.float64)
-        return _best(at.view(np.int64), other.view(np.int64), luck + fresh * 2.0**64, REVERSE + k, np.zeros(len(at), np.int8))
+        return _best(at.view(np.int64), other.view(np.int64), luck(at, other) + (fresh > 0) * 2.0**64, REVERSE + k, (NEAR | FAR) - fresh.astype(np.int8))
+
+    def luck(at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return mixed(at * np.uint64(31) + other + mixed(np.array([turn], np.uint64))).astype(np.float64)
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _blobs.Gather(n_buckets, thin=few)
@@ -263,7 +286,7 @@ def _round(state: DataFrame, dim: int, n_buckets: int, k: int, most: float) -> t
             for blob in batch.column("blob"):
                 ids, _, node, score, new = _load(blob)
                 r, c = np.nonzero(score > -np.inf)
-                yield from gather.add(_deal(node[r, c], n_buckets), node[r, c].view(np.uint64), ids[r].view(np.uint64), new[r, c].astype(np.uint8))
+                yield from gather.add(_deal(node[r, c], n_buckets), node[r, c].view(np.uint64), ids[r].view(np.uint64), new[r, c] & NEAR)
         yield from gather.flush()
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -272,18 +295,17 @@ def _round(state: DataFrame, dim: int, n_buckets: int, k: int, most: float) -> t
         if left.num_rows:
             ids, v, node, score, new = _load(left.column("blob")[0])
             r, c = np.nonzero(score > -np.inf)
-            me, to, fresh = r, node[r, c], new[r, c]
+            me, to, fresh = r, node[r, c], new[r, c] & FAR
             parts = _gathered(right)
             if parts:
                 mine, other, flag = _joined(parts)
                 at = np.searchsorted(ids, mine.view(np.int64))
-                luck = mixed(mine * np.uint64(31) + other).astype(np.float64)
-                keep = _best(at, other.view(np.int64), luck + flag * 2.0**64, REVERSE, np.zeros(len(at), np.int8))
-                me, to, fresh = np.concatenate((me, at[keep])), np.concatenate((to, other.view(np.int64)[keep])), np.concatenate((fresh, flag[keep].astype(bool)))
+                keep = _best(at, other.view(np.int64), luck(mine, other) + (flag > 0) * 2.0**64, REVERSE, np.zeros(len(at), np.int8))
+                me, to, fresh = np.concatenate((me, at[keep])), np.concatenate((to, other.view(np.int64)[keep])), np.concatenate((fresh, flag[keep]))
             code, worst = _wide(_codes(_lifted(v, most))), score.min(1)
             for a in range(0, len(me), 1 << 18):
                 m, t = me[a : a + (1 << 18)], to[a : a + (1 << 18)]
-                out += gather.add(_deal(t, n_buckets), t.view(np.uint64), ids[m].view(np.uint64), worst[m].view(np.uint32), fresh[a : a + (1 << 18)].astype(np.uint8), *[x[m] for x in code])
+                out += gather.add(_deal(t, n_buckets), t.view(np.uint64), ids[m].view(np.uint64), worst[m].view(np.uint32), fresh[a : a + (1 << 18)], *[x[m] for x in code])
         return _out(gather, out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +314,12 @@ def _round(state: DataFrame, dim: int, n_buckets: int, k: int, most: float) -> t
             at, who, worst, fresh, *code = _joined([_blobs.unpacked(b) for b in spool])
             order = few([at, who, worst, fresh])
             at, who, worst, fresh, code = at[order], who[order], worst[order], fresh[order], [c[order] for c in code]
-            order = np.lexsort((fresh == 0, who, at))
-            at, who, worst, fresh = at[order], who[order], worst[order].view(np.float32), fresh[order].astype(bool)
-            x = _narrow([c[order] for c in code], dim + 1)
-            same = np.zeros(len(at), bool)
-            same[1:] = (at[1:] == at[:-1]) & (who[1:] == who[:-1])
-            at, who, worst, fresh, x = at[~same], who[~same], worst[~same], fresh[~same], x[~same]
+            order = np.lexsort((who, at))
+            at, who, worst, flag = at[order], who[order], worst[order].view(np.float32), fresh[order]
+            x, fresh = _narrow([c[order] for c in code], dim + 1), flag > 0
+            for kind, owner, node in ((NEAR, at, who), (FAR, who, at)):  # which links met here
+                own, to = owner[flag == kind], node[flag == kind]
+                yield from gather.add(_deal(own.view(np.int64), n_buckets), own, to, np.zeros(len(own), np.uint32), np.full(len(own), kind, np.uint8))
             edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
             us, vs, ss = [], [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -315,14 +337,13 @@ def _round(state: DataFrame, dim: int, n_buckets: int, k: int, most: float) -> t
             if us:
                 u, v, s = np.concatenate(us), np.concatenate(vs), np.concatenate(ss)
                 keep = _best(u.view(np.int64), v.view(np.int64), s, k, np.zeros(len(u), np.int8))
-                yield from gather.add(_deal(u[keep].view(np.int64), n_buckets), u[keep], v[keep], s[keep].view(np.uint32))
+                yield from gather.add(_deal(u[keep].view(np.int64), n_buckets), u[keep], v[keep], s[keep].view(np.uint32), np.zeros(len(keep), np.uint8))
         yield from gather.flush()
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.int64())], names=["bucket", "blob", "changed"])
-        ids, v, node, score, _ = _load(left.column("blob")[0])
-        got, changed = _merged([ids, v, node, score, np.zeros(node.shape, bool)], right, k)
+        got, changed = _merged(_load(left.column("blob")[0]), right, k)
         return _rows_of(left.column("bucket")[0].as_py(), _save(got)).append_column("changed", pa.array([changed], pa.int64()))
 
     reverse = _spark.arrow_map(state.select("bucket", "blob"), point, _blobs.SCHEMA)

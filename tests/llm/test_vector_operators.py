@@ -84,3 +84,22 @@ def test_graph_and_walk_go_on_until_they_settle(spark, rows, monkeypatch):
     monkeypatch.setattr(nndescent, "_round", lambda state, *_: (state, next(turns)))
     nndescent.build(vectors, 16, len(rows), most)
     assert next(turns, None) is None
+
+
+def test_links_that_the_bound_cut_stay_new(spark):
+    """All 200 vectors point at one hub, which meets a bounded number of them in a round, others in the next."""
+    n, k = 200, 2
+    ids = np.arange(n)
+    v = np.random.default_rng(2).normal(size=(n, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    node = np.stack((np.where(ids == 0, 1, 0), np.where(ids < 2, 2, 1)), 1)
+    score = np.where(node == 0, 2.0, 1.5).astype(np.float32)  # nothing is better than these links: only flags change
+    state = spark.createDataFrame([(0, bytes(nndescent._save([ids, v, node, score, np.full((n, k), 3, np.uint8)])))], "bucket int, blob binary")
+    left = []
+    for turn in range(4):
+        state, changed = nndescent._round(state, 4, 1, k, 1.0, turn)
+        assert changed == 0
+        new = nndescent._load(state.first().blob)[4]
+        left.append(int(((new[:, 0] & 2) > 0)[1:].sum()))
+    most = nndescent.REVERSE + k
+    assert left[0] >= n - 1 - most and all(0 < a - b <= most for a, b in zip(left, left[1:]))
