@@ -34,12 +34,12 @@ SCOPE = frozenset("td th table caption button object html".split())
 class Node:
     """A block element, or with text a leaf."""
 
-    __slots__ = ("tag", "above", "children", "text", "linked", "kind", "place")
+    __slots__ = ("tag", "above", "children", "text", "linked", "kind", "place", "said")
 
     def __init__(self, tag: str, above: Node | None, kind: str = ""):
         self.tag, self.above, self.kind = tag, above, kind
         self.children: list[Node] = []
-        self.text, self.linked, self.place = "", 0, -1
+        self.text, self.linked, self.place, self.said = "", 0, -1, (0, 0)
 
 
 def _kind(tag: str, raw: str, above: Node | None) -> str:

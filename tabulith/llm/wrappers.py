@@ -2,7 +2,7 @@
 
 Pages of one host are made by one template. One page of each host is its wrapper; each page's tree
 is aligned with it by simple tree matching: two nodes match if their tags are equal, and their
-children so that most nodes match in order. A text leaf that says the same as the leaf which it is
+children so that most nodes match in order, and of such matchings most say the same. A text leaf that says the same as the leaf which it is
 aligned with is a vote that this leaf of the wrapper is constant. Leaves constant on most different
 pages of the host are template and go; slots that vary are content, of which the article is kept.
 
@@ -28,12 +28,14 @@ from tabulith.llm.htmltext import Node, article, leaves, parse
 CONSTANT, FEWEST = 0.8, 5
 #: Bytes of all hosts' wrapper pages up to which they are broadcast; beyond, they are joined by host.
 BROADCAST_BYTES = 16 << 20
-#: Pairs of children up to which their best alignment is searched; beyond, equal shapes are aligned in order.
+#: Pairs of children up to which their table is held whole; beyond, it is divided, with the same result.
 GRID = 4_000_000
+#: What a matched node weighs against a leaf that says the same.
+NODE = 1 << 24
 
 
 class Matcher:
-    """Simple tree matching. Weights depend on shapes alone, so they are kept from page to page."""
+    """Simple tree matching. Weights depend on shapes alone, so they are kept from page to page; texts decide between equal ones."""
 
     def __init__(self) -> None:
         self.shapes: dict[tuple, int] = {}
@@ -42,7 +44,7 @@ class Matcher:
         self.weights: dict[tuple[int, int], int] = {}
 
     def shape(self, root: Node) -> None:
-        """Number every subtree by its shape (in place)."""
+        """Number every subtree by its shape (in place), and hash what it says (said) with its number of leaves."""
         todo = [(root, False)]
         while todo:
             node, ready = todo.pop()
@@ -57,6 +59,8 @@ class Matcher:
                 self.forms.append(form)
                 self.sizes.append(1 + sum(self.sizes[c.place] for c in node.children))
             node.place = number
+            below = [c.said for c in node.children]
+            node.said = hash((node.tag, node.text, *[x[0] for x in below])), sum(x[1] for x in below) + (node.tag == "#text")
 
     def weight(self, a: int, b: int) -> int:
         """The most nodes that two shapes match."""
@@ -66,50 +70,59 @@ class Matcher:
             return 0
         got = self.weights.get((a, b))
         if got is None:
-            got = self.weights[a, b] = 1 + self._table(self.forms[a][1:], self.forms[b][1:])[0]
+            got = self.weights[a, b] = 1 + self._total(self.forms[a][1:], self.forms[b][1:])
         return got
 
     @staticmethod
     def _ends(x: tuple, y: tuple) -> tuple[int, int]:
-        """How many equal shapes both begin with, and how many more both end with: some best matching has them."""
+        """How many equal items both begin with, and how many more both end with: some best matching has them."""
         n = min(len(x), len(y))
         head = next((i for i in range(n) if x[i] != y[i]), n)
         tail = next((i for i in range(n - head) if x[-1 - i] != y[-1 - i]), n - head)
         return head, tail
 
-    def _table(self, x: tuple, y: tuple) -> tuple[int, list[tuple[int, int]]]:
-        """The weight of two lists of children and the pairs that reach it."""
+    def _rows(self, a: tuple, b: tuple) -> Iterator[np.ndarray]:
+        """The weights of each of a with all of b; items: (shape,) or (shape, what it says, its leaves)."""
+        kinds = {s: np.array([self.weight(s, y[0]) for y in b], np.int64) * NODE for s in {x[0] for x in a}}
+        said = np.array([y[1] for y in b], np.int64) if len(b[0]) > 1 else None
+        for x in a:
+            yield kinds[x[0]] if said is None else kinds[x[0]] + (said == x[1]) * x[2]
+
+    def _last(self, a: tuple, b: tuple) -> np.ndarray:
+        """The weights of all of a with each beginning of b."""
+        row = np.zeros(len(b) + 1, np.int64)
+        for w in self._rows(a, b):
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))
+        return row
+
+    def _pairs(self, a: tuple, b: tuple) -> list[tuple[int, int]]:
+        """The pairs of a best matching in order."""
+        if not a or not b:
+            return []
+        if len(a) > 1 and len(a) * len(b) > GRID:
+            half = len(a) // 2
+            k = int(np.argmax(self._last(a[:half], b) + self._last(a[half:][::-1], b[::-1])[::-1]))
+            return self._pairs(a[:half], b[:k]) + [(half + i, k + j) for i, j in self._pairs(a[half:], b[k:])]
+        rows = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+        for i, w in enumerate(self._rows(a, b)):
+            np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + w), out=rows[i + 1, 1:])
+        i, j, found = len(a), len(b), []
+        while i and j:
+            if rows[i, j] == rows[i - 1, j]:
+                i -= 1
+            elif rows[i, j] == rows[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((i, j))
+        return found[::-1]
+
+    def _total(self, x: tuple, y: tuple) -> int:
+        """The most nodes that two lists of shapes match."""
         head, tail = self._ends(x, y)
-        pairs = [(i, i) for i in range(head)]
         total = sum(self.sizes[s] for s in x[:head]) + sum(self.sizes[s] for s in x[len(x) - tail :])
         a, b = x[head : len(x) - tail], y[head : len(y) - tail]
-        if a and b:
-            if len(a) * len(b) <= GRID:
-                kinds = {s: np.array([self.weight(s, t) for t in b]) for s in set(a)}
-                rows = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-                for i, s in enumerate(a):
-                    np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + kinds[s]), out=rows[i + 1, 1:])
-                total += int(rows[-1, -1])
-                i, j, found = len(a), len(b), []
-                while i and j:
-                    if rows[i, j] == rows[i - 1, j]:
-                        i -= 1
-                    elif rows[i, j] == rows[i, j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        found.append((head + i, head + j))
-                pairs += found[::-1]
-            else:
-                j = 0
-                for i, s in enumerate(a):
-                    k = next((k for k in range(j, len(b)) if b[k] == s), None)
-                    if k is not None:
-                        pairs.append((head + i, head + k))
-                        total += self.sizes[s]
-                        j = k + 1
-        pairs += [(len(x) - tail + i, len(y) - tail + i) for i in range(tail)]
-        return total, pairs
+        return total + (int(self._last(tuple((s,) for s in a), tuple((s,) for s in b))[-1]) // NODE if a and b else 0)
 
     def aligned(self, page: Node, wrapper: Node) -> Iterator[tuple[Node, Node]]:
         """Pairs of aligned text leaves."""
@@ -119,8 +132,11 @@ class Matcher:
             if a.tag == "#text":
                 yield a, b
                 continue
-            x, y = tuple(c.place for c in a.children), tuple(c.place for c in b.children)
-            todo += [(a.children[i], b.children[j]) for i, j in self._table(x, y)[1]]
+            x, y = (tuple((c.place, *c.said) for c in n.children) for n in (a, b))
+            head, tail = self._ends(x, y)
+            pairs = [(head + i, head + j) for i, j in self._pairs(x[head : len(x) - tail], y[head : len(y) - tail])]
+            pairs += [(i, i) for i in range(head)] + [(len(x) - tail + i, len(y) - tail + i) for i in range(tail)]
+            todo += [(a.children[i], b.children[j]) for i, j in pairs]
 
     def forget(self) -> None:
         if len(self.forms) > 100_000 or len(self.weights) > 200_000:

@@ -308,3 +308,21 @@ def test_wrappers(spark):
         want = [(i, f"T{i}\n\nText {i} of its own.") for i in (0, 1, 2, 3, 3, 4, 5, 6, 7)] + [(20, "Alone.\n\nShare this page with friends."), (21, ""), (22, "")]
         assert got == [(i, t, len(t)) for i, t in want]
     assert wrappers.extract(pages.limit(0)).count() == 0
+
+
+def test_wrappers_of_pages_that_differ_in_length(spark, monkeypatch):
+    notice = "<p>Sign up for the letter of this site.</p>"
+    counts = [3, 1, 2, 4, 5, 7, 1, 2]
+    rows = [(i, f"http://h.example/{i}", page("<article><h1>T%d</h1>%s%s</article>" % (i, "".join(f"<p>Text {i} {k}.</p>" for k in range(n)), notice)), 1) for i, n in enumerate(counts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    want = {i: "\n\n".join([f"T{i}", *[f"Text {i} {k}." for k in range(n)]]) for i, n in enumerate(counts)}
+    assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == want
+    m, found = wrappers.Matcher(), []
+    for grid in (wrappers.GRID, 4):
+        monkeypatch.setattr(wrappers, "GRID", grid)
+        a, b = htmltext.parse(rows[5][2].replace("Text 5", "<b>Text 5</b>", 1)), htmltext.parse(rows[0][2])
+        m.shape(a)
+        m.shape(b)
+        pairs = list(m.aligned(a, b))
+        found.append((len(pairs), sum(x.text == y.text for x, y in pairs)))
+    assert found[0] == found[1]
