@@ -79,3 +79,46 @@ def test_similarity_is_exact(shared):
     a = np.arange(100, dtype=np.uint64)
     b = np.concatenate((a[:shared], np.arange(1000, 1100 - shared, dtype=np.uint64)))
     assert len(set(resemblance.grown([a, b]).tolist())) == (1 if shared == 89 else 2)
+
+
+def cut(docs):
+    """The words that are left of each (doc_id, text): windows of 50 that a smaller doc_id has are gone."""
+    words = {i: (t or "").split() for i, t in docs}
+    first = {}
+    for i in sorted(words):
+        for s in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][s : s + 50]), i)
+    out = {}
+    for i, ws in words.items():
+        gone = set()
+        for s in range(len(ws) - 49):
+            if first[tuple(ws[s : s + 50])] < i:
+                gone.update(range(s, s + 50))
+        out[i] = [w for k, w in enumerate(ws) if k not in gone], len(gone)
+    return out
+
+
+def test_run(spark, tmp_path):
+    """All stages; no row has a lang, so no language can be told and none is rejected."""
+    from tokenizers import Tokenizer
+
+    from tabulith.llm import tokens
+
+    encode = Tokenizer.from_file(tokens.tokenizer_path()).encode
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, base = draw(70), draw(200)
+    texts = [base, [*base[:-2], "other", "end"], *[[*draw(90), *passage, *draw(60)] for _ in range(4)], draw(1500), draw(9), base]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(i, next(iter(t))) for i, t in kept_of(rows)]
+    want = cut(kept)
+    assert sorted(want) == [1, 3, 4, 5, 6, 7, 8] and [want[i][1] > 0 for i in (3, 4, 5, 6)] == [False, True, True, True]
+    stage = corpus_pipeline.substring_dedup(spark, docs_of(spark, kept), str(tmp_path)).collect()
+    assert {r.doc_id: r.text.split() for r in stage} == {i: w for i, (w, _) in want.items()}
+    assert all(r.n_chars == len(r.text) for r in stage)
+    lengths = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    assert lengths == {r.doc_id: len(encode(r.text, add_special_tokens=False).ids) + 1 for r in stage}
