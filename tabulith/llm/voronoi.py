@@ -3,7 +3,7 @@
 Pivots, a bounded sample, split the rows into Voronoi cells. A cell's summary is the count of its
 rows, their largest distance and angle from the pivot and their largest norm. Queries are first
 solved in the cell that they lie in; that and the summaries' lower bounds give each a score that its
-k-th best reaches. A query then goes to just those other cells whose summary lets a row reach that
+k-th best reaches (a candidate counts once in it, however often its row is repeated). A query then goes to just those other cells whose summary lets a row reach that
 score; it is the queries that are replicated, being the fewer. Cells are cut into units of bounded
 size, so that a cell of a third of all rows is many tasks' work, and a unit is solved by one product.
 """
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tabulith.llm import _spark
 
 SCALE, K = 256, 5
-#: Rows to a pivot, the most pivots, rows to a unit.
-CELL_ROWS, MOST_PIVOTS, UNIT_ROWS = 1024, 1024, 8192
+#: Pivots to the square root of the rows (so that what is sent to every task, and the work of dealing rows to cells, grow
+#: much slower than the rows), rows to a unit.
+PIVOTS, UNIT_ROWS = 1.0, 8192
 #: Whole numbers from here on are not exact in doubles; vectors that hold one take no part.
 EXACT = float(1 << 53)
 
@@ -41,7 +42,8 @@ def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v array<double>, dim): whole numbers floor(scale * x) of the vectors that take part."""
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     out = vectors.where(finite("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-    return out.where(F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: F.abs(x) >= EXACT)).withColumn("dim", F.size("v"))
+    out = out.where(F.col("vec_id").isNotNull() & ~F.exists("v", lambda x: F.abs(x) >= EXACT))
+    return out.dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v"))
 
 
 def _angles(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -59,9 +61,13 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
-    """The k best of at least a score, ties to the smaller id, without the query itself."""
+    """The k best of at least a score, ties to the smaller id, without the query itself; an id counts once, with its best score."""
     ok = (ids != own) & (scores >= least)
     scores, ids = scores[ok], ids[ok]
+    if len(ids) > 1 and (np.diff(ids) <= 0).any():
+        order = np.lexsort((-scores, ids)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (ids[i], -scores[i])))
+        order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))]
+        scores, ids = scores[order], ids[order]
     if len(ids) > k:
         keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
         scores, ids = scores[keep], ids[keep]
@@ -79,6 +85,7 @@ def _solved(units: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         out: list[tuple[int, int, int]] = []
         if rows.num_rows and queries.num_rows:
             dim = len(rows.column("v")[0])
+            rows = rows.sort_by("vec_id")
             x, ids = matrix(rows.column("v").combine_chunks(), dim), np.asarray(rows.column("vec_id"))
             least = np.asarray(queries.column("least"))
             own = np.asarray(queries.column("query_id"))
@@ -92,6 +99,11 @@ def _solved(units: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return asked.groupBy("unit").cogroup(units.groupBy("unit")).applyInArrow(lambda a, b: solve(b, a), RESULT)
 
 
+def _single(found: DataFrame) -> DataFrame:
+    """A row for each query and candidate: an id counts once towards the k best."""
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of floor(scale * x) for each query.
 
@@ -104,10 +116,11 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE
     spark = vectors.sparkSession
     _spark.arrow_limits(spark)
     rows = scaled(vectors, scale)
-    n = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}
+    sizes = {r[0]: r[1:] for r in rows.groupBy("dim").agg(F.count("*"), F.count_distinct("vec_id")).collect()}
+    n, shared = {d: x[0] for d, x in sizes.items()}, {d: x[0] - x[1] for d, x in sizes.items()}  # rows, and rows more than ids
     chosen: dict[int, np.ndarray] = {}
     for dim, count in n.items():
-        p = min(MOST_PIVOTS, max(8, count // CELL_ROWS))
+        p = max(8, int(PIVOTS * count**0.5))
         got = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(p).select("v").collect()
         chosen[dim] = np.unique(np.array([r[0] for r in got]), axis=0)
 
@@ -132,11 +145,11 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE
     chunks = {(dim, c): -(-cnt // UNIT_ROWS) for dim in n for c, cnt, *_ in cells[dim]}
     first = dict(zip(chunks, np.concatenate(([0], np.cumsum(list(chunks.values()))))[:-1].tolist() if chunks else [], strict=True))
     shape = spark.createDataFrame([(d, c, first[d, c], m) for (d, c), m in chunks.items()], "dim int, cell int, first int, chunks int")
-    placed = placed.join(F.broadcast(shape), ["dim", "cell"])  # at most MOST_PIVOTS rows for a length
+    placed = placed.join(F.broadcast(shape), ["dim", "cell"])  # a row for each pivot
     units = placed.select((F.col("first") + F.pmod(F.xxhash64("vec_id"), "chunks")).cast("int").alias("unit"), "vec_id", "v")
     queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", "cell", "first", "chunks").dropDuplicates(["query_id", "q"])
     own = queries.select("query_id", "q", F.lit(float("-inf")).alias("least"), F.explode(F.sequence("first", F.col("first") + F.col("chunks") - 1)).alias("unit"))
-    near = _spark.stored(_solved(units, own, k), "near")
+    near = _spark.stored(_single(_solved(units, own, k)), "near")
     reached = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("least"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +164,9 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE
                 dot, slack = q @ p.T, 1e-9 * (1 + nq * norm[None, :] + nq * np.linalg.norm(p, axis=1)[None, :])
                 low = dot - nq * far[None, :] - slack
                 order = np.argsort(-low, axis=1)
-                enough = (np.cumsum(count[order], axis=1) > k).argmax(1)  # k rows and perhaps the query itself
-                floor = np.where(count.sum() > k, low[np.arange(len(q)), order[np.arange(len(q)), enough]], -np.inf)
+                most = k + shared[int(dim)]  # so many rows have k ids at least, and perhaps the query itself
+                enough = (np.cumsum(count[order], axis=1) > most).argmax(1)
+                floor = np.where(count.sum() > most, low[np.arange(len(q)), order[np.arange(len(q)), enough]], -np.inf)
                 least = np.maximum(np.asarray(part.column("least").fill_null(-np.inf)), floor)
                 turn = np.cos(np.maximum(_angles(q, p) - angle[None, :] - 1e-7, 0))
                 high = np.minimum(dot + nq * far[None, :], np.where(turn > 0, nq * norm[None, :] * turn, 0)) + slack
@@ -169,5 +183,5 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE
 
     asked = queries.join(reached, "query_id", "left").select("query_id", "q", "dim", "cell", "least")
     others = _solved(units, _spark.arrow_map(asked, ask, "query_id long, q array<double>, least double, unit int"), k)
-    ranked = near.unionByName(others).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = _single(near.unionByName(others)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

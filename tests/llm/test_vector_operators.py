@@ -41,6 +41,31 @@ def test_top_k(spark, rows, monkeypatch):
     assert voronoi.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def by_force(rows, own, k=5):
+    """Scores of the best vector pairs of ids, from plain integers."""
+    whole = [(i, [int(np.floor(256.0 * c)) for c in v]) for i, v in rows]
+    best = {}
+    for i, v in whole:
+        for q, u in whole:
+            if q == own and i != own:
+                s = sum(a * b for a, b in zip(u, v, strict=True))
+                best[i] = max(best.get(i, s), s)
+    return [(r, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k], 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_top_k_of_repeated_rows_and_shared_ids(spark, seed):
+    """A row repeated six times near a query, one in another cell, and ids that have several vectors."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(160, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(7, (x[7] * 0 + x[0] * 1.01).tolist())] * 6 + [(9, x[9].tolist())] * 6 + [(50, x[51].tolist()), (11, x[100].tolist())] + [(11, (x[0] * 0.9).tolist())] * 3
+    got = {}
+    for r in voronoi.top_k(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: sorted(v) for q, v in got.items()} == {q: by_force(rows, q) for q in (0, 50, 100, 150)}
+
+
 def test_nearest(spark, rows):
     df = spark.createDataFrame([*rows, *awkward(), (9300, [0.0] * 16, 1)], SCHEMA)
     got = {}
