@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabulith.llm import htmltext, langid, licences, packing, simhash, substrings, tokens, trie_bpe, wrappers
+from tabulith.llm import _words, htmltext, langid, licences, packing, simhash, substrings, tokens, trie_bpe, wrappers
 
 DOC = "doc_id long, text string, lang string, n_words long, score double"
 
@@ -71,6 +71,57 @@ def test_substrings_of_repeated_and_nameless_rows(spark):
     assert substrings.dedup(documents(spark, []).limit(0)).count() == 0
 
 
+def test_windows_that_collide_in_one_hash(spark):
+    """Thue-Morse words collide modulo 2**64 under any odd base: the windows differ in their last word alone."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    start = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{start} {word}"), (2, f"{start} {word.translate(str.maketrans('ab', 'ba'))}"), (3, f"{start} {word}")]
+    got = {r.doc_id: r.n_removed for r in substrings.dedup(documents(spark, rows), joined=True).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_values_of_windows_are_those_of_polynomials():
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 9))) for _ in range(60)).encode()
+    texts = _words.Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    base, words = 987654321987654321, text.split()
+    want = []
+    for at in range(56):
+        total, e = 0, 0
+        for w in words[at : at + 5]:
+            for c in w:
+                total += (c + 1) * pow(base, e, _words.P61)
+                e += 1
+            e += 1
+        want.append(total % _words.P61)
+    for block in (1 << 22, 7):
+        assert _words.windows61(texts, np.arange(56), 5, base, block).tolist() == want
+
+
+def test_substrings_in_many_buckets_and_stretches(spark, monkeypatch):
+    """A hot passage in every document, negative and large ids, a text beyond a slice."""
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(3000)]
+    hot = [rng.choice(words) for _ in range(80)]
+    rows = [(rng.choice([-1, 1]) * (k + 1) * 10**rng.randint(0, 12), " ".join([rng.choice(words) for _ in range(rng.randint(0, 90))] + hot[: rng.randint(40, 80)])) for k in range(60)]
+    rows.append((-(10**15), " ".join([*(rng.choice(words) for _ in range(500_000)), *hot])))
+    seen, want = {}, {}
+    split = {i: t.split() for i, t in rows}
+    for i in sorted(split):
+        for s in range(len(split[i]) - 49):
+            seen.setdefault(tuple(split[i][s : s + 50]), i)
+    for i, ws in split.items():
+        gone = set()
+        for s in range(len(ws) - 49):
+            if seen[tuple(ws[s : s + 50])] < i:
+                gone |= set(range(s, s + 50))
+        want[i] = len(gone)
+    got = {r.doc_id: r.n_removed for r in substrings.dedup(documents(spark, rows)).select("doc_id", "n_removed").collect()}
+    assert got == want and sum(v > 0 for v in want.values()) > 30
+
+
 def fingerprint(text, n=4):
     ws = (text or "").encode().lower().split()
     hashes = [xxhash.xxh64_intdigest(b" ".join(ws[k : k + n]), 42) for k in range(max(1, len(ws) - n + 1))] if ws else []
@@ -269,8 +320,56 @@ def test_licences(spark):
     assert (a.n_base, a.first_word, a.last_word, a.base_labels, a.score) == (2, 0, 4, "mit", 1.0)
     assert (got[2, 7].n_base, got[2, 7].first_word, got[2, 7].last_word) == (2, 1, 4)
     assert (got[3, 8].base_labels, got[3, 8].labels, got[4, 0].labels, got[5, 0].score) == ("apache-2", "apache-2", "", 0.0)
-    assert got[6, 7].labels == "" and "gpl" in got[7, 12].labels.split(",") and got[8, 4].n_base == got[9, 4].n_base == 0
+    assert got[6, 7].labels == "" and got[7, 12].labels == "gpl" and got[8, 4].n_base == got[9, 4].n_base == 0
     assert got[10, 16].labels == "mit" and 0.8 <= got[10, 16].score < 1
+    assert licences.scan(documents(spark, []).limit(0)).count() == 0
+
+
+NOTICES = {
+    "Released under the BSD license": "bsd",
+    "released under the GPL license": "",
+    "licensed under a Creative Commons Attribution license": "cc-by",
+    "licensed under a Creative Commons Attribution ShareAlike license": "cc-by-sa",
+    "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 license": "cc-by-nc-sa",
+    "licensed under the GNU General Public License v3": "gpl",
+    "licensed under the GNU Lesser General Public License": "lgpl",
+    "licensed under CC BY 4.0": "cc-by",
+    "licensed under CC-BY-SA 4.0": "cc-by-sa",
+    "licensed under CC BY-NC 4.0": "cc-by-nc",
+    "the city released a report under which the license of the shop ends": "",
+    "he was released from the license office under the rule of mit alone": "",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted": "bsd",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": "mpl-2",
+    "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n": "apache-2",
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "gpl",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction": "mit",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "MIT License or Apache License, Version 2.0": "apache-2",
+}
+
+
+def test_licence_labels_are_exact(spark):
+    """Each notice alone and within other words, far from the beginning."""
+    rng = random.Random(9)
+    filler = lambda n: " ".join(rng.choice(["of", "the", "and", "in", "stone", "river", "to", "a"]) for _ in range(n))
+    rows = [(k, t) for k, t in enumerate(NOTICES)] + [(100 + k, f"{filler(60 + k)} {t} {filler(90)}") for k, t in enumerate(NOTICES)]
+    got = {r.doc_id: r.labels for r in licences.scan(documents(spark, rows)).collect()}
+    assert {k: got[k] for k, _ in enumerate(NOTICES)} == dict(enumerate(NOTICES.values()))
+    assert {k: got[100 + k] for k, _ in enumerate(NOTICES)} == dict(enumerate(NOTICES.values()))
+
+
+def test_licences_by_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(10)
+    words = sorted({w for t in licences.TEMPLATES for w in t.words.split()}) + ["stone", "river", "ÄÖ", "K"]  # the last is a Kelvin sign
+    rows = [(k, " ".join(rng.choice(words) if rng.random() < 0.2 else w for w in rng.choice(list(NOTICES)).split() * rng.randint(1, 3))) for k in range(80)]
+    rows += [(80, None), (81, ""), (82, " ,"), (None, "under the mit license")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/d.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet/*.parquet'")
+    frame = licences.scan(spark.read.parquet(f"{tmp_path}/d.parquet"))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted((tuple(r) for r in frame.collect()), key=key) == sorted(duckdb.sql(licences.oracle()).fetchall(), key=key)
 
 
 def page(body, head=""):
