@@ -92,6 +92,74 @@ def windows(hashes: np.ndarray, first: np.ndarray, n: int, kind: int = 0) -> tup
     return at, runs_hash(hashes, at, at + n, kind)
 
 
+P61 = (1 << 61) - 1
+_LOW31 = np.uint64((1 << 31) - 1)
+_LOW30 = np.uint64((1 << 30) - 1)
+_P61 = np.uint64(P61)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def fold61(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime 2**61 - 1."""
+    x = (x & _P61) + (x >> np.uint64(61))
+    return np.where(x >= _P61, x - _P61, x)
+
+
+def times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    ah, al, bh, bl = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    mid = ah * bl + al * bh
+    return fold61(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + al * bl)
+
+
+def _powers61(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**61 - 1 for i below n."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, times61(out, np.full(len(out), pow(base, len(out), P61), np.uint64))))
+    return out[:n]
+
+
+def tables61(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of base and of its inverse."""
+    got = _tables.get(base)
+    if got is None or len(got[0]) < n:
+        size = max(n, 1 << 16)
+        got = _powers61(base, size), _powers61(pow(base, -1, P61), size)
+        _tables.clear()
+        if size <= 4 * SLICE_BYTES:
+            _tables[base] = got
+    return got
+
+
+def windows61(texts: Texts, at: np.ndarray, n: int, base: int, block: int = 1 << 22) -> np.ndarray:
+    """For windows of n words from word at on: the polynomial of their bytes (words one symbol apart) at base, modulo 2**61 - 1.
+
+    Two windows that differ have equal values for at most as many bases as they have bytes.
+    """
+    length = texts.ends - texts.starts
+    edge = np.concatenate(([0], np.cumsum(length)))
+    up, down = tables61(base, int(edge[-1]) + len(length) + 1)
+    inside = np.zeros(len(texts.data) + 1, np.int8)
+    inside[texts.starts] = 1
+    inside[texts.ends] -= 1
+    raw = texts.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    word = np.repeat(np.arange(len(length)), length)
+    high, low = np.zeros(len(edge), np.uint64), np.zeros(len(edge), np.uint64)
+    carry = [np.uint64(0), np.uint64(0)]
+    for a in range(0, len(raw), block):  # sums of so many products stay below 2**64
+        b = min(a + block, len(raw))
+        value, power = raw[a:b].astype(np.uint64) + np.uint64(1), up[np.arange(a, b) + word[a:b]]
+        ends = slice(*np.searchsorted(edge, (a + 1, b + 1)))
+        for k, (out, part) in enumerate(((high, power >> np.uint64(31)), (low, power & _LOW31))):
+            sums = np.cumsum(value * part)
+            out[ends] = fold61(sums[edge[ends] - a - 1] + carry[k])
+            carry[k] = fold61(sums[-1:] + carry[k])[0]
+    total = fold61(times61(high, np.full(1, 1 << 31, np.uint64)) + low)
+    span = fold61(total[at + n] + _P61 - total[at])
+    return times61(span, down[edge[at] + at])
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string array's bytes and offsets (from 0); null is empty."""
     if isinstance(texts, pa.ChunkedArray):
