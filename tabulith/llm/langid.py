@@ -1,15 +1,15 @@
 """Language identification by prediction by partial matching.
 
-For each language a variable-order context tree over folded bytes counts what follows the last
-0 to MAX_ORDER symbols. Its statistics are frozen after the fit. A text's code length under a
-language is the sum over its symbols of -log2 p, where p comes from the longest context that was
-seen: count / (total + distinct) for a symbol seen there, else the escape probability
-distinct / (total + distinct) times what the next shorter context says, and 1 / SYMBOLS below order
-0. The shortest code length wins. The trees are laid out as one table over all languages, so that a
-text costs one lookup a symbol.
-
-Symbols: a-z (upper case folded, also of the two-byte Latin letters), one for every run of other
-ASCII, one for each of the most frequent other bytes of the fit, one for the remaining bytes.
+For each language a variable-order context tree over bytes counts what follows the last 0 to
+MAX_ORDER bytes. Its statistics are frozen after the fit. A text's code length under a language is
+the sum over its bytes of -log2 p, where p comes from the longest context that was seen:
+count / (total + distinct) for a byte seen there, else the escape probability
+distinct / (total + distinct) times what the next shorter context says, and 1 / 256 below order 0.
+The shortest code length wins. A text starts as after START, a byte that no text holds.
+
+The trees of all languages are laid out together: contexts up to two bytes as rows of costs, those
+of three as the costs of what was seen there and the cost of an escape, so that a byte of a text
+takes a few lookups whatever the number of contexts.
 """
 
 from __future__ import annotations
@@ -24,108 +24,132 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulith.llm import _spark
-from tabulith.llm._words import buffers, slices
+from tabulith.llm._words import slices
 
 MAX_ORDER = 3
-SYMBOLS = 64
+#: No byte of UTF-8.
+START = 0xFF
 #: Labelled documents of a language that the fit takes (about so many, by a hash of the id; all if there are fewer).
 FIT_DOCS = 1500
+#: Bytes whose costs are looked up at once, so that a long text takes no more memory than a short one.
+CHUNK = 1 << 18
 
-_BITS = 6
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
 
-
-def folded(data: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII letters and of U+00C0-U+00DE."""
-    out = _FOLD[data]
-    lead = np.zeros(len(data), bool)
-    lead[1:] = data[:-1] == 0xC3
-    out[lead & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 0x20
+def shifted(s: np.ndarray, at: np.ndarray, start: int) -> list[np.ndarray]:
+    """For each byte of some texts those 1 to MAX_ORDER before it; start before a text."""
+    place = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at))
+    out = []
+    for k in range(1, MAX_ORDER + 1):
+        back = np.full_like(s, start)
+        back[k:] = s[:-k] if k < len(s) else []
+        back[place < k] = start
+        out.append(back)
     return out
 
 
-def symbol_map(high: np.ndarray) -> np.ndarray:
-    """Byte to symbol: 0 other ASCII, 1-26 letters, then the most frequent bytes from 0x80 (high: their counts), the last the rest."""
-    out = np.zeros(256, np.uint8)
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[0x80:] = SYMBOLS - 1
-    best = [b for b in np.argsort(-high, kind="stable") if high[b]][: SYMBOLS - 28]
-    out[0x80 + np.array(best, np.int64)] = 27 + np.arange(len(best))
-    return out
+def contexts(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each byte the code of it (lowest) and of the MAX_ORDER bytes before it."""
+    code = s.astype(np.uint32)
+    for k, back in enumerate(shifted(s, at, START), 1):
+        code |= back.astype(np.uint32) << np.uint32(8 * k)
+    return code
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray, of_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of some texts, runs of 0 as one, each text after a 0; and the texts' offsets."""
-    s = of_byte[folded(data)]
-    before = np.ones(len(s), np.uint8)
-    before[1:] = s[:-1]
-    before[offsets[:-1][offsets[:-1] < len(s)]] = 0
-    keep = (s > 0) | (before > 0)
-    at = np.concatenate(([0], np.cumsum(keep)))[offsets]
-    return s[keep], at
+def _estimated(counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each symbol (columns) in each context (rows) by counts, or by what the shorter context says; and of the escape."""
+    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+    below = np.maximum(total + kinds, 1)
+    escape = np.where(total > 0, kinds / below, 1.0)
+    return np.where(counts > 0, counts / below, escape * lower), escape
 
 
-def contexts(s: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """For each symbol the code of it and of the order symbols before it; a text starts after zeros."""
-    code = s.astype(np.int64)
-    place = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at))
-    for k in range(1, order + 1):
-        back = np.zeros(len(s), np.int64)
-        back[k:] = s[:-k] if k < len(s) else []
-        back[place < k] = 0
-        code |= back << (_BITS * k)
-    return code
+@dataclass
+class _Tables:
+    of_byte: np.ndarray  # a byte's symbol; 0 for bytes that the fit never saw, of which none is told from another
+    size: int  # symbols
+    row: np.ndarray  # of two symbols: the row of their context, or of the longest that was seen
+    node: np.ndarray  # of a row and the symbol before: the context of three, 0 if never seen
+    gram: np.ndarray  # of a context of three and a symbol: its place after the rows' costs, 0 if never seen there
+    cost: np.ndarray  # a column for each language
+    escape: np.ndarray  # of a context of three
 
 
 @dataclass
 class Model:
-    """Frozen statistics: for each language the counts of (MAX_ORDER + 1)-grams of symbols, as sorted codes and counts."""
+    """Frozen statistics: for each language the counts of runs of MAX_ORDER + 1 bytes, as sorted codes and counts."""
 
-    of_byte: np.ndarray
     languages: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]]
-    _tables: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False, compare=False)
+    _tables: _Tables | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_tables": None}
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """(base, cost): the cost row of a symbol s after context c is base[c] + s; cost has a column for each language."""
+    def tables(self) -> _Tables:
         if self._tables is None:
-            size = 1 << _BITS
-            seen = np.unique(np.concatenate([g[0] >> _BITS for g in self.grams])) if self.grams else np.zeros(0, np.int64)
-            base = (np.arange(size**MAX_ORDER) % size ** (MAX_ORDER - 1)) * size
-            base[seen] = size**MAX_ORDER + np.arange(len(seen)) * size
-            cost = np.empty((size**MAX_ORDER + len(seen) * size, len(self.languages)), np.float32)
+            every = np.unique(np.concatenate([g[0] for g in self.grams])).astype(np.uint32)
+            seen = np.unique([START, *every.view(np.uint8).tolist()])
+            of_byte = np.zeros(256, np.uint8)
+            of_byte[seen] = np.arange(1, len(seen) + 1)
+            n = len(seen) + 1
+            split = lambda codes: [of_byte[(codes >> np.uint32(8 * k)) & np.uint32(255)].astype(np.int64) for k in range(MAX_ORDER + 1)]
+            x, b1, b2, b3 = split(every)
+            pairs = np.unique(b2 * n + b1)
+            rows = 1 + n + len(pairs)
+            row = np.tile(1 + np.arange(n), n)  # order 1, by the last symbol
+            row[pairs] = 1 + n + np.arange(len(pairs))
+            nodes = np.unique(row[b2 * n + b1] * n + b3)
+            node = np.zeros(rows * n, np.int32)
+            node[nodes] = 1 + np.arange(len(nodes))
+            at = node[row[b2 * n + b1] * n + b3] * np.int64(n) + x
+            gram = np.zeros((len(nodes) + 1) * n, np.int32)
+            gram[at] = rows * n + np.arange(len(every))
+            cost = np.empty((rows * n + len(every), len(self.grams)), np.float32)
+            escape = np.zeros((len(nodes) + 1, len(self.grams)), np.float32)
             for k, (codes, counts) in enumerate(self.grams):
-                p = np.full(1, 1 / SYMBOLS)
-                for order in range(MAX_ORDER + 1):
-                    width = size ** (order + 1)
-                    if order < MAX_ORDER:
-                        table = np.bincount(codes % width, counts, width).reshape(-1, size)
-                    else:
-                        table = np.zeros((len(seen), size))
-                        table[np.searchsorted(seen, codes >> _BITS), codes % size] = counts
-                        p = p.reshape(-1, size)[seen % (size ** (MAX_ORDER - 1))].ravel()
-                    total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-                    lower = np.broadcast_to(p, table.shape) if order == 0 else p.reshape(-1, size) if order == MAX_ORDER else np.tile(p.reshape(-1, size), (size, 1))
-                    below = np.maximum(total + kinds, 1)
-                    p = np.where(table > 0, table / below, np.where(total > 0, kinds / below, 1.0) * lower).ravel()
-                    if order == MAX_ORDER - 1:
-                        cost[: size**MAX_ORDER, k] = -np.log2(p)
-                cost[size**MAX_ORDER :, k] = -np.log2(p)
-            self._tables = base.astype(np.int32), cost
+                x, b1, b2, b3 = split(codes.astype(np.uint32))
+                table = lambda context, size: np.bincount(context * n + x, counts, size * n).reshape(size, n)  # noqa: B023, E731
+                p0, _ = _estimated(table(np.zeros_like(x), 1), np.full((1, n), 1 / 256))
+                p1, _ = _estimated(table(b1, n), p0)
+                p2, _ = _estimated(table(row[b2 * n + b1] - 1 - n, len(pairs)), p1[pairs % n])
+                below = np.concatenate((p0, p1, p2))
+                cost[: rows * n, k] = -np.log2(below).ravel()
+                own = node[row[b2 * n + b1] * n + b3]
+                total, kinds = np.bincount(own, counts, len(nodes) + 1), np.bincount(own, minlength=len(nodes) + 1)
+                out = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+                escape[:, k] = -np.log2(out)
+                number = np.zeros(len(every))
+                number[np.searchsorted(every, codes.astype(np.uint32))] = counts
+                of = at // n
+                p = np.where(number > 0, number / np.maximum(total + kinds, 1)[of], out[of] * below.ravel()[nodes[of - 1] // n * n + at % n])
+                cost[rows * n :, k] = -np.log2(p)
+            self._tables = _Tables(of_byte, n, row.astype(np.int32), node, gram, cost, escape)
         return self._tables
 
-    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's code length in bits under each language, and its count of symbols."""
-        base, cost = self.tables()
-        s, at = symbols(data, offsets, self.of_byte)
-        rows = base[contexts(s, at, MAX_ORDER) >> _BITS] + s
-        sums = np.zeros((len(s) + 1, len(self.languages)))
-        np.cumsum(cost[rows], axis=0, dtype=np.float64, out=sums[1:])
-        return sums[at[1:]] - sums[at[:-1]], np.diff(at)
+    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Each text's code length in bits under each language."""
+        t = self.tables()
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        n, start = np.int32(t.size), t.of_byte[START]
+        symbols = t.of_byte[data]
+        for low in range(0, len(data), CHUNK):
+            high = min(low + CHUNK, len(data))
+            first = int(np.searchsorted(offsets, low, "right")) - 1
+            last = int(np.searchsorted(offsets, high, "left"))
+            a = max(int(offsets[first]), low - MAX_ORDER)
+            at = np.clip(offsets[first : last + 1], a, high) - a
+            s = symbols[a:high]
+            b1, b2, b3 = (b.astype(np.int32) for b in shifted(s, at, start))
+            row = t.row[b2 * n + b1]
+            node = t.node[row * n + b3]
+            place = t.gram[node * n + s]
+            known = place > 0
+            cost = t.cost[np.where(known, place, row * n + s)] + t.escape[np.where(known, 0, node)]
+            cost = cost[low - a :]
+            own = np.clip(offsets[first:last], low, high) - low
+            full = np.flatnonzero(np.diff(np.append(own, high - low)) > 0)
+            out[first + full] += np.add.reduceat(cost, own[full], axis=0, dtype=np.float64)
+        return out
 
 
 def _lettered(raw: bytes) -> bool:
@@ -141,47 +165,36 @@ def fit(labelled: DataFrame, label: str = "lang", docs_per_language: int = FIT_D
     labelled = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     if not counts:
-        return Model(symbol_map(np.zeros(128)), [], [])
+        return Model([], [])
     share = F.lit(0.0)
     for language, n in counts.items():
         share = F.when(F.col(label) == language, min(1.0, docs_per_language / n)).otherwise(share)
     taken = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share)
     taken = _spark.stored(taken.select(F.col(label).alias("label"), "text"), "fit")
 
-    def high(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(128, np.int64)
-        for batch in rows:
-            data, _ = buffers(batch.column(0))
-            total += np.bincount(folded(data), minlength=256)[0x80:]
-        yield pa.record_batch([pa.array(np.arange(128)), pa.array(total)], names=["b", "n"])
-
-    bytes_ = np.zeros(128)
-    for b, n in _spark.arrow_map(taken.select("text"), high, "b long, n long").groupBy("b").agg(F.sum("n")).collect():
-        bytes_[b] = n
-    of_byte = symbol_map(bytes_)
-
     def grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in rows:
             for part, data, at in slices(batch):
-                codes = contexts(*symbols(data, at, of_byte), MAX_ORDER)
-                lang = np.repeat(np.array(part.column(0).to_pylist(), object), np.diff(symbols(data, at, of_byte)[1]))
-                for language in set(part.column(0).to_pylist()):
-                    got, n = np.unique(codes[lang == language], return_counts=True)
+                codes = contexts(data, at)
+                names = np.array(part.column(0).to_pylist(), object)
+                for language in set(names):
+                    got, n = np.unique(codes[np.repeat(names == language, np.diff(at))], return_counts=True)
                     if language in held:
                         got, n = np.concatenate([held[language][0], got]), np.concatenate([held[language][1], n])
                         got, where = np.unique(got, return_inverse=True)
                         n = np.bincount(where, n).astype(np.int64)
                     held[language] = got, n
         for language, (got, n) in held.items():
-            yield pa.record_batch([pa.array([language] * len(got)), pa.array(got), pa.array(n)], names=["label", "code", "n"])
+            yield pa.record_batch([pa.array([language] * len(got)), pa.array(got.astype(np.int64)), pa.array(n)], names=["label", "code", "n"])
 
     tables: dict[str, tuple[list[int], list[int]]] = {language: ([], []) for language in sorted(counts)}
     got = _spark.arrow_map(taken.select("label", "text"), grams, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
     packed = got.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("t"))
     for label_, t in packed.select("label", F.struct(F.col("t.code"), F.col("t.n"))).collect():
         tables[label_] = t[0], t[1]
-    return Model(of_byte, list(tables), [(np.array(c, np.int64), np.array(n, np.int64)) for c, n in tables.values()])
+    found = {k: (np.array(c, np.uint32), np.array(n, np.int64)) for k, (c, n) in tables.items() if c}
+    return Model(list(found), list(found.values()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -202,8 +215,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for part, data, at in slices(batch):
                 best, score = np.full(part.num_rows, len(names) - 1), np.zeros(part.num_rows)
                 if model.languages:
-                    bits, n = model.lengths(data, at)
-                    ascii_ = (folded(data) >= ord("a")) & (folded(data) <= ord("z"))
+                    bits, n = model.lengths(data, at), np.diff(at)
+                    ascii_ = ((data | 0x20) >= ord("a")) & ((data | 0x20) <= ord("z"))
                     letters = np.diff(np.concatenate(([0], np.cumsum(ascii_)))[at]) > 0
                     for k in np.flatnonzero(~letters & (np.diff(at) > 0)):
                         letters[k] = _lettered(data[at[k] : at[k + 1]].tobytes())

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tabulith.llm import _spark, tokens
 
 CAPACITY, END_ID = 1024, 2
+#: Documents of one length to a salt, over which they are ranked; sums over salts up to which these are broadcast.
+SALT_ROWS, BROADCAST_SALTS = 50_000, 500_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -121,19 +123,24 @@ def packed(docs: DataFrame, tokenizer: str = tokens.DEFAULT_TOKENIZER, capacity:
 
     A null text is empty and has the end id alone; an empty table has no rows. Equal and null doc_ids
     are rows like others. Only counts of lengths (capacity numbers) reach the driver. Ranks within a
-    length are counted over salts of the id, so that a length of a third of all rows is not one task's.
+    length are counted over salts of the id, as many as the rows of that length ask for, so that a length
+    of a third of all rows is not one task's.
     """
-    items = _spark.stored(pieces(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
+    spark = docs.sparkSession
+    own = pieces(docs, tokenizer, capacity, end_id, keep_ids)
+    items = _spark.stored(own.withColumn("mark", F.monotonically_increasing_id()), "pieces")  # the mark is fixed once it is written
     counts = {r[0]: r[1] for r in items.groupBy("length").count().collect()}
-    salts = int(min(256, max(8, sum(counts.values()) // 50_000)))
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salts = spark.createDataFrame([(length, 1 + n // SALT_ROWS) for length, n in counts.items()], "length long, salts long")
+    items = items.join(F.broadcast(salts), "length")  # a row for each length
+    items = items.withColumn("salt", F.pmod(F.xxhash64("mark"), "salts")).drop("salts")
     sizes = items.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    placed = ranked.join(F.broadcast(before), ["length", "salt"])  # at most capacity * 256 rows
+    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("mark")))
+    few = sum(1 + n // SALT_ROWS for n in counts.values()) <= BROADCAST_SALTS
+    placed = ranked.join(F.broadcast(before) if few else before, ["length", "salt"])  # beyond it both sides lie by salt already
     slots = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
-    names = [f.name for f in items.schema.fields if f.name != "salt"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields if f.name != "salt")
+    names = own.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (slots[:, 0] << 44) + slots[:, 1]

@@ -224,7 +224,7 @@ def unpack_bits(raw: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return out.astype("<u4")
 
 
-FILE_SCHEMA = "shard int, block int, start long, bits int, n_ids long, docs binary, counts binary, payload binary"
+FILE_SCHEMA = "shard int, block int, start long, bits int, n_ids long, first_doc long, last_doc long, docs binary, counts binary, payload binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 0) -> None:
@@ -250,10 +250,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
             missing = np.asarray(doc.is_null())
             marks = np.asarray(doc.fill_null(0)).astype("<i8").tobytes() + np.packbits(missing).tobytes()
             counts = np.array([len(x) // 4 for _, x in held], "<u8").tobytes()
-            row = [shard, block, start, bits, len(ids), marks, counts, pack_bits(ids, bits)]
+            known = doc.drop_null()
+            ends = (known[0].as_py(), known[-1].as_py()) if len(known) else (None, None)
+            row = [shard, block, start, bits, len(ids), *ends, marks, counts, pack_bits(ids, bits)]
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 3]
         names = [f.split()[0] for f in FILE_SCHEMA.split(", ")]
         for part, texts in text_groups(batches, "text"):
             for doc, ids in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
@@ -302,13 +304,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray | None:
-    """Random access: the ids of one document, from its block alone."""
-    files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    mark = np.array([doc_id], "<i8").tobytes()
-    for row in files.where(F.instr(F.hex("docs"), mark.hex().upper()) > 0).toLocalIterator():
-        doc, counts = block_documents(bytes(row.docs), bytes(row.counts))
+    """Random access: the ids of one document (the first of that id), from its block alone.
+
+    Blocks are in the order of their ids, so that the statistics of first_doc and last_doc prune files and row groups;
+    of the blocks left, docs and counts are read, and the payload of the one that holds the document.
+    """
+    near = spark.read.schema(FILE_SCHEMA).parquet(path).where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    for found in near.select("shard", "block", "docs", "counts").orderBy("shard", "block").toLocalIterator():
+        doc, counts = block_documents(bytes(found.docs), bytes(found.counts))
         if doc_id in doc:
             k = doc.index(doc_id)
+            row = near.where((F.col("shard") == found.shard) & (F.col("block") == found.block)).select("bits", "payload").first()
             return unpack_bits(bytes(row.payload), row.bits, int(counts[:k].sum()), int(counts[k]))
     return None
 

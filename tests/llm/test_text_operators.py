@@ -229,6 +229,35 @@ def test_token_files(spark, tokenizer, tmp_path, monkeypatch):
     assert tokens.with_crc(tokens.read_token_files(spark, path)).where("doc_id = 5").first().ids_crc32 == zlib.crc32(np.array(by[5][0], "<u4").tobytes())
 
 
+def test_empty_tables(spark, tmp_path):
+    none = documents(spark, []).limit(0)
+    path = str(tmp_path / "ids")
+    tokens.write_token_files(none, path)
+    assert tokens.read_token_files(spark, path).count() == 0 and tokens.read_document(spark, path, 1) is None
+    assert packing.packed(none).count() == trie_bpe.encoded(none, digests=True).count() == langid.identified(none).count() == 0
+
+
+def test_rows_without_ids(spark, tokenizer):
+    rows = [(None, "a text"), (None, None), (4, "other")]
+    got = sorted((r.n_tokens, r.decoded) for r in trie_bpe.encoded(documents(spark, rows), digests=True).collect())
+    assert got == sorted((len(tokenizer.encode(t or "", add_special_tokens=False).ids), t or "") for _, t in rows)
+    prints = simhash.near_duplicates(documents(spark, rows)).select("doc_id", simhash.hexadecimal().alias("h"), "component_id").collect()
+    assert sorted((r.doc_id or 0, r.h) for r in prints) == sorted((i or 0, format(fingerprint(t), "016x")) for i, t in rows)
+
+
+def test_packing_of_one_length(spark, monkeypatch):
+    """All rows are equal: ranks over many salts, with and without broadcast sums, leave no gap."""
+    monkeypatch.setattr(packing, "SALT_ROWS", 7)
+    for few in (packing.BROADCAST_SALTS, 0):
+        monkeypatch.setattr(packing, "BROADCAST_SALTS", few)
+        got = packing.packed(documents(spark, [(1, "one")] * 200 + [(2, "a b c d")] * 90), capacity=10).collect()
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+        assert len(got) == 290 and all(a == b for x in bins.values() for (a, _), b in zip(sorted(x), np.cumsum([0] + [n for _, n in sorted(x)]), strict=False))
+        assert len(bins) == -(-sum(r.length for r in got) // 10) and max(sum(n for _, n in x) for x in bins.values()) <= 10
+
+
 def test_packing(spark, tokenizer):
     rows = texts()
     got = packing.packed(documents(spark, rows), keep_ids=True).collect()
@@ -267,23 +296,21 @@ def test_plans():
 
 
 def code_length(model, k, text):
-    """PPM over dictionaries, symbol by symbol."""
+    """PPM over dictionaries, byte by byte."""
     counts = [defaultdict(dict) for _ in range(langid.MAX_ORDER + 1)]
     for code, n in zip(*(x.tolist() for x in model.grams[k]), strict=True):
+        run = code.to_bytes(4, "big")
         for order in range(langid.MAX_ORDER + 1):
-            g = code % 64 ** (order + 1)
-            own = counts[order][g >> 6]
-            own[g & 63] = own.get(g & 63, 0) + n
-    data = np.frombuffer(text.encode(), np.uint8)
-    s, _ = langid.symbols(data, np.array([0, len(data)]), model.of_byte)
-    bits, past = 0.0, [0] * langid.MAX_ORDER
-    for x in s.tolist():
+            own = counts[order][run[3 - order : 3]]
+            own[run[3]] = own.get(run[3], 0) + n
+    bits, past = 0.0, bytes([langid.START] * langid.MAX_ORDER)
+    for x in text.encode():
         p = 1.0
         for order in range(langid.MAX_ORDER, -2, -1):
             if order < 0:
-                p /= langid.SYMBOLS
+                p /= 256
                 break
-            own = counts[order].get(sum(past[-1 - j] << 6 * j for j in range(order)))
+            own = counts[order].get(past[len(past) - order :])
             if own:
                 total = sum(own.values()) + len(own)
                 if x in own:
@@ -291,17 +318,31 @@ def code_length(model, k, text):
                     break
                 p *= len(own) / total
         bits -= np.log2(p)
-        past.append(x)
+        past += bytes([x])
     return bits
 
 
-def test_language_id(spark, sf_dir):
+def test_scripts_of_many_bytes(spark):
+    """Languages that differ only in bytes beyond ASCII, with many of these, are told apart."""
+    rng = random.Random(3)
+    draw = lambda a, n: "".join(chr(rng.randint(a, a + 60)) if rng.random() < 0.85 else " " for _ in range(n))
+    bases = {"ge": 0x10D0, "am": 0x1200, "ar": 0x0621, "el": 0x0391, "ru": 0x0410, "hi": 0x0904, "ta": 0x0B85, "ja": 0x3041}
+    rows = [(k * 10 + j, draw(a, 200), name, 0, 0.0) for k, (name, a) in enumerate(bases.items()) for j in range(10)]
+    model = langid.fit(spark.createDataFrame(rows, DOC))
+    asked = spark.createDataFrame([(k, draw(a, 12) + chr(a), name, 0, 0.0) for k, (name, a) in enumerate(bases.items())], DOC)
+    assert all(r.lang_pred == r.lang for r in langid.predict(asked, model).collect())
+
+
+def test_language_id(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.lit(1).alias("score"))
     model = langid.fit(docs.where(~langid.held_out()))
-    for text in ("Hello the world ñ €uro", "für die ÜBER   12", "x", ""):
-        data = np.frombuffer(text.encode(), np.uint8)
-        got, _ = model.lengths(data, np.array([0, len(data)]))
-        assert np.allclose(got[0], [code_length(model, k, text) for k in range(len(model.languages))], rtol=1e-5)
+    cases = ["Hello the world ñ €uro", "für die ÜBER   12", "x", "", "", "Привет, мир", "漢字 und das", "a\0b", "of the " * 30]
+    want = [[code_length(model, k, text) for k in range(len(model.languages))] for text in cases]
+    data = np.frombuffer("".join(cases).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in cases)])
+    for chunk in (langid.CHUNK, 5):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(model.lengths(data, at), want, rtol=1e-4)
     held = langid.predict(docs, model).where(langid.held_out()).collect()
     assert np.mean([r.lang == r.lang_pred for r in held]) >= 0.95
     odd = langid.predict(documents(spark, [(1, None), (2, ""), (3, "12 !?"), (4, "ß"), (None, "the and of")]), model).collect()
