@@ -53,9 +53,9 @@ def split(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> Iter
 class Gather:
     """Columns gathered over several slices, emitted by bucket when there are enough."""
 
-    def __init__(self, n_buckets: int, encode: Callable[[list[np.ndarray]], bytes] = packed, thin: Callable[[list[np.ndarray]], np.ndarray] | None = None):
-        """thin: the places of the entries that are worth sending, of the columns of all gathered ones."""
-        self.n_buckets, self.encode, self.thin = n_buckets, encode, thin
+    def __init__(self, n_buckets: int, encode: Callable[[list[np.ndarray]], bytes] = packed, thin: Callable[[list[np.ndarray]], np.ndarray] | None = None, most: int = FLUSH):
+        """most: entries to be gathered; thin: the places of the entries that are worth sending, of the columns of all gathered ones."""
+        self.n_buckets, self.encode, self.thin, self.most = n_buckets, encode, thin, most
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
@@ -63,7 +63,7 @@ class Gather:
         if len(bucket):
             self.parts.append((bucket, *columns))
             self.size += len(bucket)
-        if self.size >= FLUSH:
+        if self.size >= self.most:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:

@@ -66,6 +66,21 @@ def buckets(spark: SparkSession, entries: float, per_bucket: int) -> int:
     return int(min(65_536, max(2 * partitions(spark), entries // per_bucket + 1)))
 
 
+def released() -> None:
+    """Give memory that nothing uses back to the system: workers outlive their tasks, and others run beside them."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     arrow_limits(df.sparkSession)
-    return df.mapInArrow(func, schema)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from func(batches)
+        released()
+
+    return df.mapInArrow(mapped, schema)

@@ -124,7 +124,7 @@ def tables61(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of base and of its inverse."""
     got = _tables.get(base)
     if got is None or len(got[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(1 << (n - 1).bit_length(), 1 << 16)
         got = _powers61(base, size), _powers61(pow(base, -1, P61), size)
         _tables.clear()
         if size <= 4 * SLICE_BYTES:

@@ -36,6 +36,8 @@ from tabulith.llm import _blobs, _rows, _spark
 from tabulith.llm._words import P61, Texts, slices, windows, windows61
 
 WINDOW = 50
+#: Entries of a bucket of documents that are gathered before they are reduced and sent.
+STRETCH = 1_000_000
 _NO_ID = np.int64(np.iinfo(np.int64).max)
 
 
@@ -79,7 +81,7 @@ class _Summary:
         if len(columns[0]):
             self.parts.append(columns)
             self.size += len(columns[0])
-        if self.size >= _blobs.FLUSH:
+        if self.size >= STRETCH:
             self.flush()
 
     def flush(self) -> None:
@@ -92,6 +94,7 @@ class _Summary:
 
     def table(self) -> pa.Table:
         self.flush()
+        _spark.released()
         return pa.Table.from_batches(self.out, schema=_blobs.ARROW)
 
 
@@ -186,7 +189,7 @@ def hits(probed: DataFrame, n_docs: int) -> DataFrame:
     """To the buckets of documents: (hash, smallest id that has it as a reference block, largest id) of the blocks that two documents have."""
 
     def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _blobs.Gather(n_docs, _encoded(1))
+        gather = _blobs.Gather(n_docs, _encoded(1), most=STRETCH)
         for bucket, spool in _blobs.spools(rows):
             index = _Index()
             for blob in spool:
@@ -311,7 +314,7 @@ def repeats(extension: DataFrame, n_docs: int) -> DataFrame:
     """To the buckets of documents: (hash, value, smallest id) of the windows that a smaller id than theirs has too."""
 
     def agree(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _blobs.Gather(n_docs, _encoded(2))
+        gather = _blobs.Gather(n_docs, _encoded(2), most=STRETCH)
         for _, spool in _blobs.spools(rows):
             index = _Pairs()
             for blob in spool:
@@ -391,6 +394,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, joined: bool = False) -> DataFr
             columns["text"] = text
             columns |= {"n_words": pa.array(np.diff(first)), "n_removed": pa.array(lost)}
             out.append(pa.table(columns))
+        _spark.released()
         return pa.concat_tables(out) if out else empty
 
     empty = pa.table([pa.array([], f.type) for f in to_arrow_schema(schema)], schema=to_arrow_schema(schema))
