@@ -11,7 +11,8 @@ RECORD = T.StructType(
     + [T.StructField("source_row", T.IntegerType()), T.StructField("source_region", T.StringType()), T.StructField("amount", T.DecimalType(38, 10)), T.StructField("currency", T.StringType())]
 )
 
-# Header words of each field, what is required, and the order in which currencies are looked for.
+# Header words of each field, what is required, the order in which currencies are looked for, what names say of a
+# field, words that mean the same, states, rules and thresholds.
 FIELD_ALIASES = {
     "location": ("location", "site", "facility", "address"),
     "event_date": ("event date", "date", "inspection date", "date time", "datetime", "timestamp", "period", "cycle date", "reporting period"),
@@ -33,4 +34,4 @@ SYNONYMS = {"staff": "employee", "personnel": "employee", "worker": "employee",
 STATUSES = ("written", "accepted", "review", "rejected", "skipped_existing")
 RULES = {"configured_exact": 1.0, "casefold_exact": 0.99, "normalized_exact": 0.97}
 LEAST_CONFIDENCE, LEAST_RATIO = 0.85, 0.78
-HEADER_ROWS, ENUM_CAP, SAMPLES = 20, 20, 5
+HEADER_ROWS, ENUM_CAP, SAMPLES, SAMPLE_ROWS = 20, 20, 5, 20

@@ -5,13 +5,15 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulith.contract import SYNONYMS
 
 _ASCII = r"^[\x00-\x7F]*$"
+#: Names of devices.
+_RESERVED = r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
 
 
 def header(value: Column) -> Column:
@@ -59,23 +61,23 @@ def semantic_tokens(name: Column) -> Column:
 
 # What people append to a file name for one more version.
 _DECORATIONS = (
-    r"\s*\(\d+\)$",
-    r"(?i)\s*-\s*copy(\s*\(\d+\))?$",
-    r"(?i)[\s_-]*(final|latest|new|old|draft)$",
-    r"(?i)[\s_-]*(?<![A-Za-z])v\d+(\.\d+)*$",
-    r"(?i)[\s_-]*(rev|version|ver)[\s_-]*\d+(\.\d+)*$",
-    r"[\s_-]*(最终版?|最新版?|终版|定稿|副本|修订版?)$",
+    r"\s*\(\d+\)",
+    r"\s*-\s*copy(?:\s*\(\d+\))?",
+    r"[\s_-]*(?:final|latest|new|old|draft)",
+    r"[\s_-]*(?<![A-Za-z])v\d+(?:\.\d+)*",
+    r"[\s_-]*(?:rev|version|ver)[\s_-]*\d+(?:\.\d+)*",
+    r"[\s_-]*(?:最终版?|最新版?|终版|定稿|副本|修订版?)",
 )
 
 
-def version_key(name: Column, rounds: int = 4) -> Column:
-    """The stem without version decorations (so many nested rounds), separators as one space, lower case."""
+def version_key(name: Column) -> Column:
+    """The stem without version decorations, however many there are, separators as one space, lower case.
+
+    Decorations go while something is left before them, so that a name of decorations alone keeps one.
+    """
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
-    base = stem
-    for _ in range(rounds):
-        for pattern in _DECORATIONS:  # after something, so that a name of decorations alone keeps one
-            base = F.trim(F.regexp_replace(base, r"(?<=[^\s_-])" + pattern, ""))
-    return F.lower(F.trim(F.regexp_replace(base, r"[\s_-]+", " ")))
+    tail = r"(?i)(?<=[^\s_-])(?:" + "|".join(f"(?:{d}[\\s_-]*)" for d in _DECORATIONS) + ")+$"
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(stem, tail, ""), r"[\s_-]+", " ")))
 
 
 def csv_safe(value: Column) -> Column:
@@ -83,8 +85,18 @@ def csv_safe(value: Column) -> Column:
     return F.when(value.rlike(r"^[=+\-@\t\r\n]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
+def sheet_file_names(sheets: DataFrame, suffix: str = ".csv") -> DataFrame:
+    """sheets (sheet_index, sheet) with file: portable names, told apart by -2, -3, .. where they agree but for case."""
+    clean = F.regexp_replace(F.regexp_replace("sheet", r'[<>:"/\\|?*\x00-\x1f]', "_"), r"[. ]+$", "")
+    clean = F.when(F.trim(clean) == "", "sheet").otherwise(clean)
+    clean = F.when(F.upper(clean).rlike(_RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+    n = F.row_number().over(Window.partitionBy(F.lower("c")).orderBy("sheet_index"))
+    named = sheets.withColumn("c", clean).withColumn("n", n)
+    return named.withColumn("file", F.concat("c", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""), F.lit(suffix))).drop("c", "n")
+
+
 def file_component(value: Column) -> Column:
     """A portable file name: illegal characters and runs of dashes as one dash, no trailing dot or space, reserved names marked."""
     clean = F.regexp_replace(F.rtrim(F.trim(F.regexp_replace(value, r'[<>:"/\\|?*\x00-\x1f]', "-"))), r"[. ]+$", "")
     clean = F.regexp_replace(clean, "-+", "-")
-    return F.when(F.upper(clean).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"), F.concat(F.lit("_"), clean)).otherwise(clean)
+    return F.when(F.upper(clean).rlike(_RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)

@@ -29,15 +29,29 @@ def _part(text: Column, pattern: str, k: int) -> Column:
 
 
 def ingest_date(value: Column) -> Column:
-    """ISO date of a cell's text: ISO 8601, else month first, else day first, else unchanged."""
+    """ISO date of a cell's text: ISO 8601 (with a time, an offset, as a week, or without dashes), else month first, else day first, else unchanged."""
     text = F.trim(F.coalesce(value, F.lit("")))
-    dashed = F.replace(text, F.lit("/"), F.lit("-"))
-    iso = r"^(\d{4})-(\d{2})-(\d{2})([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+    clock = r"(.\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$"
+    iso, basic, week = r"^(\d{4})-(\d{2})-(\d{2})" + clock, r"^(\d{4})(\d{2})(\d{2})" + clock, r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?" + clock
     us = r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
-    first = F.when(dashed.rlike(iso), _date(*[_part(dashed, iso, k) for k in (1, 2, 3)]))
-    month = F.when(dashed.rlike(us), _date(_part(dashed, us, 3), _part(dashed, us, 1), _part(dashed, us, 2)))
-    day = F.when(dashed.rlike(us), _date(_part(dashed, us, 3), _part(dashed, us, 2), _part(dashed, us, 1)))
-    return F.coalesce(F.date_format(F.coalesce(first, month, day), "yyyy-MM-dd"), text)
+
+    def read(dashed: Column) -> Column:
+        found = [F.when(dashed.rlike(p), _date(*[_part(dashed, p, k) for k in order])) for p, order in ((iso, (1, 2, 3)), (basic, (1, 2, 3)), (us, (3, 1, 2)), (us, (3, 2, 1)))]
+        year, number, day = (_part(dashed, week, k) for k in (1, 2, 3))
+        monday = F.date_trunc("week", _date(year, F.lit("1"), F.lit("4"))).cast("date")
+        at = F.date_add(monday, (number.try_cast("int") - 1) * 7 + F.coalesce(day.try_cast("int"), F.lit(1)) - 1)
+        within = number.try_cast("int").between(1, 53) & (F.date_trunc("week", _date((year.try_cast("int") + 1).cast("string"), F.lit("1"), F.lit("4"))).cast("date") > at)
+        weekly = F.when(dashed.rlike(week) & within, at)
+        return F.date_format(F.coalesce(found[0], found[1], weekly, found[2], found[3]), "yyyy-MM-dd")
+
+    return F.when(text == "", "").otherwise(F.coalesce(let(F.replace(text, F.lit("/"), F.lit("-")), read), text))
+
+
+def serial_date(value: Column, epoch: Column) -> Column:
+    """ISO date of a number of days since an epoch, its time left out; null where it is none."""
+    n = value.try_cast("double")
+    days = F.when(n.between(1, 2958465), F.floor(n)).cast("int")
+    return F.date_format(F.date_add(F.to_date(F.coalesce(epoch, F.lit(_EPOCH))), days), "yyyy-MM-dd")
 
 
 def detected_currency(value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions import text as X
 
+# Invisible characters, numbers as texts, gaps that end a working area.
 INVISIBLE = r"[ \p{Cc}\p{Cf}&&[^\t\n\r]]"
 NUMERIC = r"^[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?$"
 ROW_GAP, COLUMN_GAP = 50, 10
@@ -44,12 +45,29 @@ def significant_digits(value: Column) -> Column:
     return F.greatest(F.length(digits), F.lit(1))
 
 
+def canonical_decimal(value: Column) -> Column:
+    """A decimal's text without an exponent or trailing zeros."""
+    text = value.cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
 def numeric_findings(cells: DataFrame) -> DataFrame:
-    """cells with a number as text; beyond fifteen significant digits only the text is exact, so there is no candidate."""
-    plain = F.regexp_replace(F.trim("value"), "[,%]", "").try_cast("decimal(38,10)")
-    share = F.when(F.endswith(F.trim("value"), F.lit("%")), plain / 100).otherwise(plain)
+    """cells with a number as text, its significant digits, and what it would be: as an exact text and as a number.
+
+    Beyond fifteen digits only the text is exact, so there is no candidate. A percentage is a hundredth of its number.
+    """
+    plain = F.regexp_replace(F.trim("value"), "[,%+]", "").try_cast("decimal(38,18)")
+    share = F.when(F.endswith(F.trim("value"), F.lit("%")), (plain / 100).cast("decimal(38,18)")).otherwise(plain)
     out = cells.where(numeric_text(F.col("value"))).withColumn("digits", significant_digits(F.col("value")))
-    return out.withColumn("candidate", F.when(F.col("digits") <= 15, share.cast("double")))
+    out = out.withColumn("candidate_text", F.when(F.col("digits") <= 15, canonical_decimal(share)))
+    return out.withColumn("candidate", F.col("candidate_text").cast("double"))
+
+
+def same_number(left: Column, right: Column) -> Column:
+    """Whether two numbers' texts are one number: whole numbers and fractions of the same value are; beyond fifteen digits none is sure."""
+    a, b = left.try_cast("decimal(38,18)"), right.try_cast("decimal(38,18)")
+    sure = (significant_digits(left) <= 15) & (significant_digits(right) <= 15)
+    return F.coalesce((a == b) & sure, F.lit(False))
 
 
 def duplicate_headers(headers: DataFrame) -> DataFrame:

@@ -43,18 +43,21 @@ def records(grid: DataFrame) -> DataFrame:
     """The records of each file's best sheet, in the contract's fields, with row_index in file order.
 
     Blank rows are left out; short rows lack the last fields; row numbers are those of the grid. A
-    missing confidence column means 1, an unreadable or NaN confidence 0.
+    missing confidence column means 1, an unreadable or NaN confidence 0. A number in the date's column
+    of a workbook is a day counted from the workbook's epoch.
     """
     rows = grid.join(layouts(grid), ["file", "sheet_index", "sheet"]).where("row > header_row")
     rows = rows.where(F.exists("values", lambda v: F.coalesce(F.trim(v), F.lit("")) != ""))
     cell = lambda f: F.trim(F.coalesce(F.try_element_at("values", F.try_element_at("fields", F.lit(f)) + 1), F.lit("")))
+    kind = F.try_element_at("kinds", F.try_element_at("fields", F.lit("event_date")) + 1)
+    dated = F.coalesce(F.when(kind == "n", V.serial_date(cell("event_date"), F.col("epoch"))), V.ingest_date(cell("event_date")))
     name = F.regexp_extract("file", "([^/]*)$", 1)
     read = F.coalesce(cell("confidence").try_cast("double"), F.lit(0.0))
     confidence = F.when(F.map_contains_key("fields", "confidence"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(read), 0.0).otherwise(read)))).otherwise(1.0)
     money = cell("amount")
     sheet = F.when(F.col("sheet") != "", F.concat(F.lit("#"), "sheet")).otherwise("")
     return rows.select(
-        cell("location").alias("location"), V.ingest_date(cell("event_date")).alias("event_date"), cell("identifier").alias("identifier"), cell("category").alias("category"), confidence.alias("confidence"),
+        cell("location").alias("location"), dated.alias("event_date"), cell("identifier").alias("identifier"), cell("category").alias("category"), confidence.alias("confidence"),
         F.concat(name, sheet, F.lit(":"), F.col("row").cast("string")).alias("source"), name.alias("source_file"), F.col("sheet").alias("source_sheet"), F.col("row").alias("source_row"), F.lit("").alias("source_region"),
         V.amount(money).alias("amount"), V.resolved_currency(V.detected_currency(money), V.currency_evidence(cell("currency"))).alias("currency"), F.struct("file", "row").alias("row_index"),
     )

@@ -12,10 +12,6 @@ from pyspark.sql import types as T
 from tabulith import contract as C
 from tabulith.functions import text as X
 
-#: Rows of destination aliases up to which they are broadcast to the records.
-BROADCAST_ALIASES = 200_000
-
-
 def with_record_id(records: DataFrame, row_independent: bool = False) -> DataFrame:
     """record_id from source, identifier, date, location and category; row_independent leaves the source out."""
     fields = ["identifier", "event_date", "location", "category"]
@@ -34,28 +30,36 @@ def aliases(destinations: DataFrame) -> DataFrame:
     return destinations.select(F.col("key").alias("destination"), F.posexplode(names).alias("pos", "alias"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES else df
+KINDS = ((0, "configured_exact", lambda c: c), (1, "casefold_exact", X.identity_key), (2, "normalized_exact", X.match_key))
 
 
-def tiers(values: DataFrame, destinations: DataFrame) -> DataFrame:
-    """(location, rule, rule_rank, candidates): for each distinct location the first rule that any alias meets.
+def _keyed(destinations: DataFrame) -> DataFrame:
+    """(rank, k, hits): for each rule and key the destinations whose aliases have it, of each the first alias."""
+    keys = F.array(*[F.struct(F.lit(rank).alias("rank"), key(F.col("alias")).alias("k")) for rank, _, key in KINDS])
+    each = aliases(destinations).select("destination", "pos", "alias", F.explode(keys).alias("x")).select("destination", "pos", "alias", "x.*").where("k <> ''")
+    one = each.groupBy("rank", "k", "destination").agg(F.min_by("alias", "pos").alias("alias"))
+    return one.groupBy("rank", "k").agg(F.array_sort(F.collect_list(F.struct("destination", "alias"))).alias("hits"))
+
 
-    Three equi-joins on keys made beforehand; of a destination's aliases the first counts. Empty keys
-    match nothing.
+def tiered(rows: DataFrame, destinations: DataFrame) -> DataFrame:
+    """rows (location and more) with rule, rule_rank and candidates: of the first rule that any alias meets.
+
+    A key has one row of destinations, so each rule is a lookup that multiplies nothing: where the
+    destinations are few, Spark broadcasts them and the records stay where they are. Of a destination's
+    aliases the first counts. Empty keys match nothing.
     """
-    names = aliases(destinations)
-    kinds = ((0, "configured_exact", lambda c: c), (1, "casefold_exact", lambda c: X.identity_key(c)), (2, "normalized_exact", lambda c: X.match_key(c)))
-    found = None
-    for rank, rule, key in kinds:
-        left = values.select("location", key(F.col("location")).alias("k")).where("k <> ''")
-        right = _small(names.select("destination", "pos", "alias", key(F.col("alias")).alias("k")).where("k <> ''"))
-        hit = left.join(right, "k").select("location", "destination", "pos", "alias", F.lit(rank).alias("rule_rank"), F.lit(rule).alias("rule"))
-        found = hit if found is None else found.unionByName(hit)
-    one = found.groupBy("location", "rule_rank", "rule", "destination").agg(F.min_by("alias", "pos").alias("alias"))
-    per = one.groupBy("location", "rule_rank", "rule").agg(F.array_sort(F.collect_list(F.struct("destination", "alias"))).alias("candidates"))
-    best = per.groupBy("location").agg(F.min_by(F.struct("rule", "rule_rank", "candidates"), "rule_rank").alias("m"))
-    return best.select("location", "m.rule", "m.rule_rank", "m.candidates")
+    named, out = _keyed(destinations), rows
+    for rank, _, key in KINDS:
+        side = named.where(F.col("rank") == rank).select(F.col("k").alias(f"_k{rank}"), F.col("hits").alias(f"_h{rank}"))
+        out = out.withColumn("_key", key(F.col("location"))).join(side, F.col("_key") == F.col(f"_k{rank}"), "left").drop("_key", f"_k{rank}")
+    first = lambda value: F.coalesce(*[F.when(F.col(f"_h{rank}").isNotNull(), value(rank, rule)) for rank, rule, _ in KINDS])
+    columns = [first(lambda rank, rule: F.lit(rule)).alias("rule"), first(lambda rank, rule: F.lit(rank)).alias("rule_rank"), first(lambda rank, rule: F.col(f"_h{rank}")).alias("candidates")]
+    return out.select(*rows.columns, *columns)
+
+
+def tiers(values: DataFrame, destinations: DataFrame) -> DataFrame:
+    """(location, rule, rule_rank, candidates) of the distinct locations that a rule matches."""
+    return tiered(values.select("location").distinct(), destinations).where("rule is not null")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -63,34 +67,56 @@ def _ratio(values: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(values, names, strict=True)], dtype="float64")
 
 
+#: Letters from rare to frequent in names; what is not listed is rarer still. Any order gives the same result.
+RARE = "zqxjkvbpygfwmucldrhsnioate"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _letters(keys: pd.Series) -> pd.Series:
+    """The letters of each key, each with how often it came before, from rare to frequent."""
+
+    def one(k: str) -> list[str]:
+        seen: dict[str, int] = {}
+        out = []
+        for c in k:
+            seen[c] = seen.get(c, 0) + 1
+            out.append((-seen[c], RARE.find(c), c))
+        return [f"{c}{-n}" for n, _, c in sorted(out)]
+
+    return keys.map(one)
+
+
 def fuzzy(values: DataFrame, destinations: DataFrame, least: float = C.LEAST_RATIO) -> DataFrame:
     """(location, destination, alias, ratio): the best similarity of at least `least` for each destination.
 
-    Only distinct unmatched locations come here. A ratio of t needs lengths within a factor of
-    (2 - t) / t and that many letters in common, so names are joined by their length first.
+    The ratio of two names of a and b letters is at most 2 c / (a + b) for c letters in common, each
+    counted as often as both have it. So lengths are within a factor of (2 - least) / least, c is at
+    least `least` / 2 * (a + b), and the first letters of either, from rare to frequent, as many as it
+    can lack and one more, hold one of the other's: names are joined on length and such a letter, the
+    letters in common are counted, and only what is left is compared.
     """
-    left = values.select("location", X.match_key(F.col("location")).alias("k")).where("k <> ''").distinct()
-    right = aliases(destinations).select("destination", "pos", "alias", X.match_key(F.col("alias")).alias("n")).where("n <> ''").distinct()
-    low, high = F.ceil(F.length("k") * (least / (2 - least))), F.floor(F.length("k") * ((2 - least) / least))
-    left = left.withColumn("len", F.explode(F.sequence(low.cast("int"), F.greatest(high, low).cast("int"))))
-    near = left.join(_small(right.withColumn("len", F.length("n").cast("int"))), "len")
-    letters = lambda c: F.array_distinct(F.split(c, ""))
-    near = near.where(F.size(F.array_intersect(letters("k"), letters("n"))) >= 1)
+    lack = lambda n: F.size(n) - F.ceil(F.size(n) * (least / (2 - least)) - 1e-9).cast("int") + 1
+    left = values.select("location", X.match_key(F.col("location")).alias("k")).where("k <> ''").distinct().withColumn("a", _letters("k"))
+    right = aliases(destinations).select("destination", "pos", "alias", X.match_key(F.col("alias")).alias("n")).where("n <> ''").distinct().withColumn("b", _letters("n"))
+    low, high = F.ceil(F.size("a") * (least / (2 - least)) - 1e-9), F.floor(F.size("a") * ((2 - least) / least) + 1e-9)
+    probes = left.withColumn("len", F.explode(F.sequence(low.cast("int"), F.greatest(high, low).cast("int")))).withColumn("letter", F.explode(F.slice("a", F.lit(1), lack("a"))))
+    index = right.withColumn("len", F.size("b")).withColumn("letter", F.explode(F.slice("b", F.lit(1), lack("b"))))
+    near = probes.join(index, ["len", "letter"]).drop("len", "letter").distinct()
+    near = near.where(F.size(F.array_intersect("a", "b")) >= (F.size("a") + F.size("b")) * (least / 2) - 1e-9)
     scored = near.withColumn("ratio", _ratio("k", "n")).where(F.col("ratio") >= least)
     return scored.groupBy("location", "destination").agg(F.max(F.struct("ratio", "alias")).alias("m")).select("location", "destination", "m.alias", "m.ratio")
 
 
-def matched(records: DataFrame, destinations: DataFrame, confirmations: DataFrame | None = None, use_fuzzy: bool = True) -> DataFrame:
+def matched(records: DataFrame, destinations: DataFrame, confirmations: DataFrame | None = None, use_fuzzy: bool = True, places: DataFrame | None = None) -> DataFrame:
     """records (record_id, duplicate, location) with match_status, rule, destination, candidates, match_confidence, match_reason.
 
     Duplicates have none; a confirmation (record_id, target) comes before the rules; a fuzzy hit is a
-    suggestion and never accepted.
+    suggestion and never accepted. places: rows whose locations are those of records at least, where
+    these are cheaper to read (names that no record has in the end cost a comparison, no result).
     """
-    open_ = records.where("not duplicate").select("location").distinct()
-    hits = tiers(open_, destinations)
-    out = records.join(hits, "location", "left")
+    out = tiered(records, destinations)
     if use_fuzzy:
-        near = fuzzy(open_.join(hits, "location", "left_anti"), destinations)
+        near = fuzzy(tiered((records if places is None else places).select("location").distinct(), destinations).where("rule is null"), destinations)
         near = near.groupBy("location").agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("s"), "destination", "alias"))).alias("near"))
         out = out.join(near, "location", "left")
     else:

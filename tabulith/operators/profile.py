@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulith import contract as C
@@ -29,30 +29,41 @@ def field_report(cells_: DataFrame) -> DataFrame:
     """
     cells_ = cells_.where("value is not null and value <> ''")
 
-    def mode(what: str) -> DataFrame:
-        each = cells_.where(F.col(f"inf.{what}").isNotNull()).groupBy("field", F.col(f"inf.{what}").alias("x")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-        return each.groupBy("field").agg(F.max_by("x", F.struct("n", -F.col("first"))).alias(what))
-
     zeros = F.coalesce(F.col("inf.reason").isin("leading_zero_identifier", "leading_zero_candidate"), F.lit(False))
-    kinds = cells_.groupBy("field", "inf.type").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.sum("inf.confidence").alias("c"), F.count_if(F.col("inf.confidence") < 0.8).alias("low"), F.count_if("inf.ambiguous").alias("amb"), F.max(zeros).alias("zeros"))
-    out = kinds.groupBy("field").agg(
-        F.max_by("type", F.struct("n", -F.col("first"))).alias("inferred_type"), F.round(F.sum("c") / F.sum("n") * F.max("n") / F.sum("n"), 3).alias("confidence"), F.sum("n").alias("sample_count"),
-        F.sum("low").alias("low_confidence_count"), F.sum("amb").alias("ambiguous_count"), F.max("zeros").alias("leading_zero_preserved"),
+    kinds = cells_.groupBy("field", "inf.type", "inf.unit", "inf.locale").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first"), F.sum("inf.confidence").alias("c"), F.count_if(F.col("inf.confidence") < 0.8).alias("low"), F.count_if("inf.ambiguous").alias("amb"), F.max(zeros).alias("zeros"),
+    )
+    each = kinds.groupBy("field").agg(
+        F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("low").alias("low"), F.sum("amb").alias("amb"), F.max("zeros").alias("zeros"), F.collect_list(F.struct("type", "unit", "locale", "n", "first")).alias("k"),
+    )  # a few kinds for each field
+
+    def mode(what: str) -> tuple[Column, Column]:
+        """The value that most cells have, the first seen of equals, and its count."""
+        values = F.array_distinct(F.filter(F.transform("k", lambda x: x[what]), lambda v: v.isNotNull()))
+        summed = F.transform(values, lambda v: F.struct(F.aggregate(F.filter("k", lambda x: x[what] == v), F.lit(0).cast("long"), lambda a, x: a + x.n).alias("n"), (-F.array_min(F.transform(F.filter("k", lambda x: x[what] == v), lambda x: x.first))).alias("first"), v.alias("v")))
+        best = F.array_max(summed)
+        return best["v"], best["n"]
+
+    kind, most = mode("type")
+    return each.select(
+        "field", kind.alias("inferred_type"), F.round(F.col("c") / F.col("n") * most / F.col("n"), 3).alias("confidence"), F.col("n").alias("sample_count"), F.col("low").alias("low_confidence_count"),
+        F.col("amb").alias("ambiguous_count"), F.col("zeros").alias("leading_zero_preserved"), mode("unit")[0].alias("unit"), mode("locale")[0].alias("locale"),
     )
-    return out.join(mode("unit"), "field", "left").join(mode("locale"), "field", "left")
 
 
 def column_profile(cells_: DataFrame) -> DataFrame:
-    """(field, position, types, required, distinct_values, samples, enum): samples are the first five distinct of the first twenty values."""
+    """(field, position, types, required, distinct_values, samples, enum): samples are the first five distinct of the first twenty populated values."""
     has = F.coalesce(F.trim("value"), F.lit("")) != ""
-    early = F.slice(F.array_sort(F.collect_list(F.when((F.col("seq") <= 20) & has, F.struct("seq", "value")))), 1, 20)
     out = cells_.groupBy("field", "position").agg(
-        F.array_sort(F.collect_set(F.when(has, F.col("inf.type")))).alias("types"), F.count_if(~has).alias("blank"),
-        F.count_distinct(F.when(has, F.col("value"))).alias("distinct_values"), F.slice(F.array_distinct(F.transform(early, lambda s: s.value)), 1, C.SAMPLES).alias("samples"),
+        F.array_sort(F.collect_set(F.when(has, F.col("inf.type")))).alias("types"), F.count_if(~has).alias("blank"), F.count_distinct(F.when(has, F.col("value"))).alias("distinct_values"),
     )
-    few = cells_.where(has).groupBy("field", "value").count().groupBy("field").agg(F.count("*").alias("k")).where(F.col("k") <= C.ENUM_CAP).select("field")
-    values = cells_.where(has).join(few, "field", "left_semi").groupBy("field").agg(F.array_sort(F.collect_set("value")).alias("enum"))
-    return out.join(values, "field", "left").select("field", "position", "types", (F.col("blank") == 0).alias("required"), "distinct_values", "samples", "enum")
+    filled = cells_.where(has)
+    early = filled.select("field", "seq", "value", F.row_number().over(Window.partitionBy("field").orderBy("seq")).alias("n")).where(F.col("n") <= C.SAMPLE_ROWS)  # each task sends so many rows of a field
+    samples = early.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("s")).select("field", F.slice(F.array_distinct(F.transform("s", lambda x: x.value)), 1, C.SAMPLES).alias("samples"))
+    values = filled.select("field", "value").distinct().select("field", "value", F.row_number().over(Window.partitionBy("field").orderBy("value")).alias("n")).where(F.col("n") <= C.ENUM_CAP + 1)
+    few = values.groupBy("field").agg(F.count("*").alias("k"), F.array_sort(F.collect_list("value")).alias("enum")).where(F.col("k") <= C.ENUM_CAP).select("field", "enum")
+    out = out.join(samples, "field", "left").join(few, "field", "left")
+    return out.select("field", "position", "types", (F.col("blank") == 0).alias("required"), "distinct_values", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "enum")
 
 
 def drift(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,6 +86,47 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "k", "full_outer").select(F.col("k").alias("field"), F.explode(kinds).alias("kind"))
 
 
+def sheet_drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(sheet, kind) of sheets that only one of two workbooks has."""
+    a, b = old.select("sheet").distinct().withColumn("a", F.lit(True)), new.select("sheet").distinct().withColumn("b", F.lit(True))
+    kind = F.when(F.col("a").isNull(), "sheet_added").when(F.col("b").isNull(), "sheet_removed")
+    return a.join(b, "sheet", "full_outer").select("sheet", kind.alias("kind")).where("kind is not null")
+
+
+def grain_drift(old: DataFrame, new: DataFrame, by: str, key: Column, least: float = 0.01) -> DataFrame:
+    """(by, before, after) where the rows for each distinct key changed by more than `least`."""
+    ratio = lambda df, name: df.groupBy(by).agg((F.count("*") / F.greatest(F.count_distinct(key), F.lit(1))).alias(name))
+    return ratio(old, "before").join(ratio(new, "after"), by).where(F.abs(F.col("after") - F.col("before")) > least)
+
+
+#: Changes that stop a delivery until somebody has looked at them.
+BLOCKING = ("sheet_added", "sheet_removed", "field_added", "field_removed", "grain_changed")
+
+
+def drift_blocked(changes: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """(blocked): whether any change is a blocking one or any rename is suggested. One row."""
+    a = changes.agg(F.coalesce(F.bool_or(F.col("kind").isin(*BLOCKING)), F.lit(False)).alias("a"))
+    b = suggestions.agg((F.count("*") > 0).alias("b"))
+    return a.join(b, F.lit(True)).select((F.col("a") | F.col("b")).alias("blocked"))  # one row each
+
+
+def drift_report(changes: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """(document): the changes by field, possible renames and whether they block, as one JSON text."""
+    listed = changes.groupBy("field").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).agg(F.array_sort(F.collect_list(F.struct("field", "kinds"))).alias("changes"))  # as many as there are fields
+    renamed = suggestions.agg(F.array_sort(F.collect_list(F.struct("old", "new", "overlap"))).alias("suggestions"))
+    rows = listed.join(renamed, F.lit(True)).join(drift_blocked(changes, suggestions), F.lit(True))
+    return rows.select(F.to_json(F.struct("changes", "suggestions", "blocked")).alias("document"))
+
+
+def workbook_cells(cells: DataFrame) -> DataFrame:
+    """Cells of workbooks (sources.workbook.cells) as (sheet, field, position, seq, value, inf): row 1 names the fields."""
+    head = cells.where("row = 1 and value <> ''").select("file", "sheet", "col", F.col("value").alias("field"))
+    body = cells.where("row > 1").join(head, ["file", "sheet", "col"])
+    plain = F.when(F.col("kind") == "n", F.regexp_replace(F.col("value"), r"\.0$", "")).otherwise(F.col("value"))
+    kind = F.when(F.trim("value") == "", "empty").when(F.col("kind") == "d", "date").when(F.col("kind") == "n", F.when(F.col("value").rlike(r"^-?\d+(\.0+)?$"), "integer").otherwise("decimal")).when(F.col("kind") == "b", "boolean").otherwise("text")
+    return body.select("file", "sheet", "field", (F.col("col") - 1).alias("position"), F.col("row").alias("seq"), plain.alias("value"), F.struct(kind.alias("type")).alias("inf"))
+
+
 def renames(removed: DataFrame, added: DataFrame) -> DataFrame:
     """(old, new, overlap): possible renames among fields (field, position, types): half of the words, or place and a type, in common.
 

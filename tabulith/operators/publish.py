@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabulith.functions.text import csv_safe
+from tabulith.sinks import files
 
 
 class VerificationError(ValueError):
@@ -14,11 +17,6 @@ class VerificationError(ValueError):
         self.findings = findings
 
 
-def _path(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def findings(expected: DataFrame, persisted: DataFrame, key: str = "record_id") -> list[str]:
     """What is wrong with what was persisted: its count, repeated or changed rows."""
     out = []
@@ -32,19 +30,28 @@ def findings(expected: DataFrame, persisted: DataFrame, key: str = "record_id")
 
 
 def publish(rows: DataFrame, target: str, key: str = "record_id") -> None:
-    """Write rows beside the target, read them back, and only then put them in its place."""
+    """Write rows beside the target, read them back, and only then put them in its place.
+
+    The rows are evaluated once: what is compared is the written table and a fingerprint taken of the
+    rows while they were written (their count, and the sum of their hashes).
+    """
     spark = rows.sparkSession
-    staged = f"{target.rstrip('/')}.staged"
-    rows.write.mode("overwrite").parquet(staged)
-    wrong = findings(rows, spark.read.parquet(staged), key)
-    path, fs = _path(spark, staged)
+    staged = f"{target.rstrip('/')}.{uuid.uuid4().hex}.staged"
+    seen = Observation()
+    rows.observe(seen, *_sums(rows.columns)).write.parquet(staged)
+    persisted = spark.read.parquet(staged)
+    now = persisted.agg(*_sums(rows.columns)).first().asDict()
+    wrong = ["written_count_mismatch"] if now["n"] != seen.get["n"] else []
+    wrong += ["duplicate_record"] if persisted.groupBy(key).count().where("count > 1").limit(1).count() else []
+    wrong += ["written_value_mismatch"] if now["n"] == seen.get["n"] and now["h"] != seen.get["h"] else []
     if wrong:
-        fs.delete(path, True)
+        files.delete(spark, staged)
         raise VerificationError(wrong)
-    final, _ = _path(spark, target)
-    fs.delete(final, True)
-    if not fs.rename(path, final):
-        raise OSError(f"{target} could not be replaced")
+    files.swap(spark, staged, target)
+
+
+def _sums(columns: list[str]) -> list[Column]:
+    return [F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string").alias("h")]
 
 
 def export_csv(rows: DataFrame, target: str) -> None:

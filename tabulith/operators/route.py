@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulith import contract as C
 from tabulith.functions.values import review_reasons
@@ -18,15 +19,15 @@ def reviewed(records: DataFrame, least: float = C.LEAST_CONFIDENCE) -> DataFrame
     return out.withColumn("rejected", F.exists("reasons", lambda r: r.rlike(REJECTS)))
 
 
-def routed(records: DataFrame, destinations: DataFrame, confirmations: DataFrame | None = None, existing: DataFrame | None = None, use_fuzzy: bool = True) -> DataFrame:
+def routed(records: DataFrame, destinations: DataFrame, confirmations: DataFrame | None = None, existing: DataFrame | None = None, use_fuzzy: bool = True, least: float = C.LEAST_CONFIDENCE) -> DataFrame:
     """records with status, reasons and destination.
 
     Rejected records are set aside before dedup, so that they never claim a record_id. Accepted are
     those matched without any reason; of these the ones in existing (destination, record_id) are
     skipped_existing.
     """
-    told = match.with_record_id(reviewed(records))
-    good = match.matched(match.first_seen(told.where("not rejected")), destinations, confirmations, use_fuzzy)
+    told = match.with_record_id(reviewed(records, least))
+    good = match.matched(match.first_seen(told.where("not rejected")), destinations, confirmations, use_fuzzy, records)
     good = good.withColumn("reasons", F.array_union("reasons", F.array_compact(F.array("match_reason"))))
     good = good.withColumn("status", F.when((F.col("match_status") == "matched") & (F.size("reasons") == 0), "accepted").otherwise("review"))
     if existing is not None:
@@ -55,10 +56,53 @@ def source_counts(outcomes: DataFrame, source: str = "source") -> DataFrame:
     return outcomes.groupBy(source).agg(F.count("*").alias("records"), *[F.count_if(F.col("status") == s).alias(s) for s in C.STATUSES])
 
 
+def source_origins(outcomes: DataFrame, source: str, origin: str = "source_file", order: str = "row_index") -> DataFrame:
+    """(source, origins): the files that the records of each input name, in the order in which they come first."""
+    first = outcomes.where(F.col(origin) != "").groupBy(source, origin).agg(F.min(order).alias("o"))
+    return first.groupBy(source).agg(F.array_sort(F.collect_list(F.struct("o", F.col(origin).alias("x")))).alias("l")).select(source, F.transform("l", lambda x: x.x).alias("origins"))
+
+
+def tab_counts(written: DataFrame, persisted: DataFrame) -> DataFrame:
+    """(destination, sheet, written, rows, sources): what the run wrote to each sheet, by input, and what is there.
+
+    written: (destination, sheet, input); persisted: (destination, sheet, rows), counted in what was read back.
+    """
+    each = written.groupBy("destination", "sheet", "input").agg(F.count("*").alias("n"))
+    own = each.groupBy("destination", "sheet").agg(F.sum("n").alias("written"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("input", "n")))).alias("sources"))
+    out = own.join(persisted, ["destination", "sheet"], "left")
+    return out.select("destination", "sheet", "written", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), "sources")
+
+
+#: Rows of an input, or numbers of an order, that are counted together before they are placed.
+PLACED_ROWS = 65_536
+
+
+def numbered(rows: DataFrame, by: str, order: str, name: str = "n") -> DataFrame:
+    """rows with their number (from 1) within by, in the order of a column: a number, or a struct that ends in one.
+
+    Rows are first dealt to stretches of the order and numbered there; the stretches' counts, summed up,
+    give where each begins. So a key with a third of all rows is as many tasks' work as it has stretches.
+    """
+    kind = rows.schema[order].dataType
+    if not isinstance(kind.fields[-1].dataType if hasattr(kind, "fields") else kind, T.NumericType):
+        raise ValueError(f"{order} is neither a number nor a struct that ends in one")
+    if hasattr(kind, "names"):
+        *head, last = kind.names
+        stretch = F.struct(*[F.col(f"{order}.{h}").alias(h) for h in head], F.floor(F.col(f"{order}.{last}") / PLACED_ROWS).alias(last))
+    else:
+        stretch = F.floor(F.col(order) / PLACED_ROWS)
+    dealt = rows.withColumn("_s", stretch)
+    sizes = dealt.groupBy(by, "_s").agg(F.count("*").alias("_n"))
+    before = sizes.select(by, "_s", (F.sum("_n").over(Window.partitionBy(by).orderBy("_s")) - F.col("_n")).alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(by, "_s").orderBy(order)))
+    same = own[by].eqNullSafe(before[by]) & own["_s"].eqNullSafe(before["_s"])
+    return own.join(before, same).select(*[own[c] for c in rows.columns], (F.col("_before") + F.col("_own")).alias(name))
+
+
 def write_order(outcomes: DataFrame, data_start_row: int = 2) -> DataFrame:
     """Accepted records with the row that each takes in its destination."""
-    at = F.row_number().over(Window.partitionBy("destination").orderBy("row_index"))
-    return outcomes.where("status = 'accepted'").withColumn("target_row", at + (data_start_row - 1))
+    placed = numbered(outcomes.where("status = 'accepted'"), "destination", "row_index", "target_row")
+    return placed.withColumn("target_row", F.col("target_row") + (data_start_row - 1))
 
 
 def new_records(outcomes: DataFrame, existing: DataFrame) -> DataFrame:

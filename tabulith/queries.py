@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulith import delivery_queries, workbook_queries
 from tabulith import messy as M
 from tabulith.functions import text as X
 from tabulith.functions import values as V
@@ -166,10 +167,11 @@ def status_counts(spark, sf_dir):
     return route.status_counts(outcomes(spark, sf_dir))
 
 
-@query(M.sql(M.RECORDS, select="SELECT count(*) AS input, count(*) AS routed, true AS conserved FROM recs"))
+@query(M.sql(*_OUT, select="SELECT (SELECT count(*) FROM recs) AS input, count(*) AS routed, count(*) = (SELECT count(*) FROM recs) AND count(*) = sum(CASE WHEN status IN ('accepted', 'review', 'rejected') THEN 1 ELSE 0 END) AS conserved FROM outcomes"))
 def conservation_check(spark, sf_dir):
+    """Records that went in against the sum of all terminal states that came out."""
     n = M.records(spark, sf_dir).agg(F.count("*").alias("input"))
-    out = outcomes(spark, sf_dir).agg(F.count_if(F.col("status").isNotNull()).alias("routed"))
+    out = route.status_counts(outcomes(spark, sf_dir)).select((F.col("written") + F.col("accepted") + F.col("review") + F.col("rejected") + F.col("skipped_existing")).alias("routed"))
     return n.join(out, F.lit(True)).select("input", "routed", (F.col("input") == F.col("routed")).alias("conserved"))  # one row each
 
 
@@ -177,7 +179,7 @@ def conservation_check(spark, sf_dir):
   FROM outcomes WHERE match_status IN ('review', 'conflict') AND len(candidates) > 0 GROUP BY 1, 2"""))
 def ambiguity_groups(spark, sf_dir):
     groups = ambiguity.grouped(ambiguity.from_outcomes(outcomes(spark, sf_dir)))
-    return groups.select("key", joined("candidates").alias("candidates"), "affected", F.size("samples").cast("long").alias("samples"))
+    return groups.select("key", joined("candidates").alias("candidates"), "affected", F.col("n_samples").alias("samples"))
 
 
 @query("""SELECT c_mktsegment AS key, CASE WHEN c_mktsegment < 'C' THEN 'resolved' WHEN c_mktsegment < 'G' THEN 'conflict' WHEN c_mktsegment < 'I' THEN 'unknown' ELSE 'pending' END AS state, count(*) AS affected FROM customer GROUP BY 1, 2""")
@@ -232,14 +234,16 @@ def tab_counts(spark, sf_dir):
 _PART = ["p_name", "p_brand", "p_type", "p_size"]
 
 
-@query("""WITH c AS (SELECT 'p_name' AS field, 0 AS position, p_partkey AS seq, p_name AS v FROM part UNION ALL SELECT 'p_brand', 1, p_partkey, p_brand FROM part UNION ALL SELECT 'p_type', 2, p_partkey, p_type FROM part
-    UNION ALL SELECT 'p_size', 3, p_partkey, CAST(p_size AS VARCHAR) FROM part),
-  s AS (SELECT field, list(v ORDER BY seq) AS l FROM (SELECT field, v, min(seq) AS seq FROM c WHERE seq <= 20 GROUP BY 1, 2) GROUP BY field)
-  SELECT c.field, c.position, count(*) FILTER (coalesce(trim(v), '') = '') = 0 AS required, count(DISTINCT v) AS distinct_values, array_to_string(any_value(s.l)[1:5], '|') AS samples,
+@query("""WITH p AS (SELECT p_partkey + 1000 AS seq, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS p_name, p_brand, p_type, p_size FROM part),
+  c AS (SELECT 'p_name' AS field, 0 AS position, seq, p_name AS v FROM p UNION ALL SELECT 'p_brand', 1, seq, p_brand FROM p UNION ALL SELECT 'p_type', 2, seq, p_type FROM p UNION ALL SELECT 'p_size', 3, seq, CAST(p_size AS VARCHAR) FROM p),
+  e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY seq) AS r FROM c WHERE coalesce(trim(v), '') <> '') WHERE r <= 20),
+  s AS (SELECT field, list(v ORDER BY seq) AS l FROM (SELECT field, v, min(seq) AS seq FROM e GROUP BY 1, 2) GROUP BY field)
+  SELECT c.field, c.position, CASE c.field WHEN 'p_size' THEN 'integer' ELSE 'text' END AS types, count(*) FILTER (coalesce(trim(v), '') = '') = 0 AS required, count(DISTINCT v) AS distinct_values, array_to_string(any_value(s.l)[1:5], '|') AS samples,
     CASE WHEN count(DISTINCT v) <= 20 THEN array_to_string(list_sort(list(DISTINCT v)), '|') END AS enum FROM c LEFT JOIN s USING (field) GROUP BY 1, 2""")
 def column_profile(spark, sf_dir):
-    got = profile.column_profile(profile.inferred(M.table(spark, sf_dir, "part"), _PART, "p_partkey"))
-    return got.select("field", "position", "required", "distinct_values", F.array_join("samples", "|").alias("samples"), F.array_join("enum", "|").alias("enum"))
+    rows = M.table(spark, sf_dir, "part").select((F.col("p_partkey") + 1000).alias("p_partkey"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("p_name"), "p_brand", "p_type", "p_size")
+    got = profile.column_profile(profile.inferred(rows, _PART, "p_partkey"))
+    return got.select("field", "position", F.array_join("types", "|").alias("types"), "required", "distinct_values", F.array_join("samples", "|").alias("samples"), F.array_join("enum", "|").alias("enum"))
 
 
 @query("""SELECT * FROM (VALUES ('pbrand', 'field_renamed'), ('pbrand', 'field_reordered'), ('pname', 'field_reordered'), ('pname', 'field_renamed'), ('ptype', 'field_removed'), ('pretailprice', 'field_added'), ('psize', 'field_type_changed'), ('psize', 'field_renamed')) AS t(field, kind)""")
@@ -293,9 +297,9 @@ _FILES = """CASE event_id % 8 WHEN 0 THEN '~$book.xlsx' WHEN 1 THEN 'in.csv.part
 
 
 @query(f"""SELECT classification, disposition, reason, count(*) AS n FROM (SELECT CASE k WHEN 3 THEN 'template' WHEN 4 THEN 'review_return' WHEN 5 THEN 'prior_delivery' WHEN 7 THEN CASE WHEN d < DATE '2024-01-10' THEN 'prior_delivery' WHEN d <= DATE '2024-01-20' THEN 'input' ELSE 'unknown' END ELSE 'unknown' END AS classification,
-  CASE k WHEN 2 THEN 'review' WHEN 4 THEN 'review' WHEN 7 THEN CASE WHEN d < DATE '2024-01-10' THEN 'exclude' WHEN d <= DATE '2024-01-20' THEN 'include' ELSE 'review' END ELSE 'exclude' END AS disposition,
+  CASE k WHEN 2 THEN 'review' WHEN 3 THEN 'review' WHEN 4 THEN 'review' WHEN 7 THEN CASE WHEN d < DATE '2024-01-10' THEN 'exclude' WHEN d <= DATE '2024-01-20' THEN 'include' ELSE 'review' END ELSE 'exclude' END AS disposition,
   CASE k WHEN 0 THEN 'sync_artifact_lock_file' WHEN 1 THEN 'sync_artifact_incomplete_download' WHEN 2 THEN 'sync_artifact_conflict_copy' WHEN 3 THEN 'classified_as_template' WHEN 4 THEN 'classified_as_review_return' WHEN 5 THEN 'classified_as_prior_delivery' WHEN 6 THEN 'unsupported_extension'
-    ELSE CASE WHEN d < DATE '2024-01-10' THEN 'historical_outside_current_period' WHEN d <= DATE '2024-01-20' THEN 'current_period_input' ELSE 'outside_period' END END AS reason
+    ELSE CASE WHEN d < DATE '2024-01-10' THEN 'historical_outside_current_period' WHEN d <= DATE '2024-01-20' THEN 'current_period_input' ELSE 'modified after the declared current period' END END AS reason
   FROM (SELECT event_id % 8 AS k, CAST(ts AS DATE) AS d FROM events)) GROUP BY ALL""")
 def workdir_classify(spark, sf_dir):
     files = M.table(spark, sf_dir, "events").select(F.expr(_FILES).alias("name"), F.col("ts").alias("mtime"), F.lit(True).alias("stable"))
@@ -303,7 +307,8 @@ def workdir_classify(spark, sf_dir):
     return catalog.classified(files, day("2024-01-10"), day("2024-01-20")).groupBy("classification", "disposition", "reason").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_orderstatus AS task, o_orderpriority AS component, 'sha256:' || sha256(array_to_string(list(h ORDER BY h), chr(10))) AS digest FROM (SELECT o_orderstatus, o_orderpriority, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders) GROUP BY 1, 2""")
+@query("""SELECT o_orderstatus AS task, o_orderpriority AS component, 'sha256:' || sha256(concat_ws(',', CAST(count(*) AS VARCHAR), CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS VARCHAR), CAST(sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT)) AS VARCHAR),
+  CAST(sum(CAST(('0x' || substr(h, 31, 15)) AS BIGINT)) AS VARCHAR), CAST(sum(CAST(('0x' || substr(h, 46, 15)) AS BIGINT)) AS VARCHAR))) AS digest FROM (SELECT o_orderstatus, o_orderpriority, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders) GROUP BY 1, 2""")
 def fingerprint_components(spark, sf_dir):
     rows = M.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"))
     return fingerprint.fingerprints(rows, "o_orderstatus", "o_orderpriority", "h")
@@ -474,14 +479,13 @@ def currency_policy(spark, sf_dir):
     return M.records(spark, sf_dir).select("category", c.alias("c")).groupBy("category").agg(formats.one_currency("c").alias("currency"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'A' || CAST(n_nationkey AS VARCHAR) AS cell, 'A' || CAST(CASE WHEN n_nationkey % 5 = 4 THEN n_nationkey - 4 + CASE WHEN n_nationkey > 10 THEN 5 ELSE 0 END ELSE n_nationkey + 1 END AS VARCHAR) AS needs FROM nation),
-  r(home, pos, n) AS (SELECT cell, needs, 1 FROM e UNION ALL SELECT r.home, e.needs, r.n + 1 FROM r JOIN e ON r.pos = e.cell WHERE r.n < 64 AND r.pos <> r.home) SELECT DISTINCT home AS cell FROM r WHERE home = pos""")
+@query("""WITH RECURSIVE e AS (SELECT n_regionkey AS book, 'A' || CAST(n_nationkey AS VARCHAR) AS cell, 'A' || CAST((n_nationkey + 5 + CASE WHEN n_nationkey % 5 = 4 THEN 1 ELSE 0 END) % 25 AS VARCHAR) AS needs FROM nation),
+  r(book, home, pos) AS (SELECT book, cell, needs FROM e UNION SELECT r.book, r.home, e.needs FROM r JOIN e ON r.book = e.book AND r.pos = e.cell) SELECT DISTINCT book, home AS cell FROM r WHERE home = pos""")
 def formula_cycles(spark, sf_dir):
     k = F.col("n_nationkey")
-    to = F.when(k % 5 == 4, k - 4 + F.when(k > 10, 5).otherwise(0)).otherwise(k + 1)
-    edges = M.table(spark, sf_dir, "nation").select(F.concat(F.lit("A"), k.cast("string")).alias("cell"), F.concat(F.lit("=B$1*A"), to.cast("string"), F.lit("+SUM(C1:C9)")).alias("formula"))
-    edges = edges.select("cell", F.explode(formulas.references(F.col("formula"))).alias("needs")).where("needs like 'A%'")
-    return formulas.on_cycles(spark, edges)
+    to = (k + 5 + F.when(k % 5 == 4, 1).otherwise(0)) % 25
+    edges = M.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("book"), F.concat(F.lit("A"), k.cast("string")).alias("cell"), F.concat(F.lit("=B$1*A"), to.cast("string"), F.lit("+SUM(C1:C9)")).alias("formula"))
+    return formulas.on_cycles(edges.select("book", "cell", F.explode(formulas.references(F.col("formula"))).alias("needs")))
 
 
 @query("""SELECT n_nationkey AS row, '=A' || CAST(n_nationkey + 2 AS VARCHAR) || '*$B$1+C' || CAST(n_nationkey + 3 AS VARCHAR) AS formula FROM nation""")
@@ -490,15 +494,15 @@ def formula_fill(spark, sf_dir):
     return M.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row"), formulas.filled("D2", 2, F.lit("=A2*$B$1+C3"), at).alias("formula"))
 
 
-@query("""SELECT * FROM (VALUES ('S', 'A1', 'formula_error_literal'), ('S', 'A2', 'external_reference'), ('S', 'A3', 'broken_reference'), ('S', 'A4', 'missing_formula_sheet'), ('S', 'A5', 'unsupported_dynamic_array'), ('S', 'A6', 'formula_error_token')) AS t(sheet, cell, code)""")
+@query("""SELECT * FROM (VALUES ('S', 'A1', 'formula_error_literal'), ('S', 'A2', 'external_reference'), ('S', 'A3', 'broken_reference'), ('S', 'A4', 'missing_formula_sheet'), ('S', 'A5', 'unsupported_dynamic_array'), ('S', 'A3', 'formula_error_token'), ('S', 'A6', 'formula_error_token')) AS t(sheet, cell, code)""")
 def formula_findings(spark, sf_dir):
     rows = [("S", "A1", "#N/A", None), ("S", "A2", "1", "=[b.xlsx]X!A1"), ("S", "A3", "1", "=#REF!+1"), ("S", "A4", "1", "='No Such'!A1"), ("S", "A5", "1", "=UNIQUE(A1:A9)"), ("S", "A6", "1", "=IF(A1=#N/A,0,1)"), ("S", "A7", "1", "=S!A1+B2")]
     return formulas.findings(spark.createDataFrame(rows, "sheet string, cell string, value string, formula string"), ["S"])
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **delivery_queries.QUERIES, **workbook_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **delivery_queries.SQL, **workbook_queries.SQL}

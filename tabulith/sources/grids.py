@@ -1,81 +1,48 @@
 """Cell grids from CSV files and workbooks, and records from extraction JSON.
 
-A grid is a long table (file, sheet_index, sheet, row, values): rows keep their numbers, blank and
-ragged ones too, which Spark's CSV reader would not. Files are read by Spark, one task a file.
+A grid is a long table (file, sheet_index, sheet, row, values, kinds, epoch): rows keep their numbers,
+blank and ragged ones too, which Spark's CSV reader would not. kinds tells numbers from texts; epoch is
+the day from which a workbook counts its dates. Files are read by Spark, one task a file.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import re
-import zipfile
 from collections.abc import Iterator
-from datetime import date, timedelta
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA = "file string, sheet_index int, sheet string, row int, values array<string>"
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
-_DATE_FORMATS = {14, 15, 16, 17, 22}
+from tabulith.functions import values as V
+from tabulith.sources.workbook import UNREADABLE, Book
 
+SCHEMA = "file string, sheet_index int, sheet string, row int, values array<string>, kinds array<string>, epoch string"
+#: What load() and grid() read.
+GRIDS, JSON = (".csv", ".xlsx", ".xlsm"), ".json"
 
-def _csv_rows(content: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
+
+def _csv_rows(content: bytes) -> Iterator[tuple]:
     for n, row in enumerate(csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")), 1):
-        yield 0, "", n, row
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for c in re.match("[A-Z]+", ref)[0]:
-        n = 26 * n + ord(c) - 64
-    return n
-
-
-def _workbook_rows(content: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        dated: set[int] = set()
-        if "xl/styles.xml" in names:
-            styles = ElementTree.fromstring(z.read("xl/styles.xml"))
-            own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iterfind("m:numFmts/m:numFmt", _NS)}
-            for k, xf in enumerate(styles.iterfind("m:cellXfs/m:xf", _NS)):
-                form = int(xf.get("numFmtId", 0))
-                if form in _DATE_FORMATS or re.search("[yd]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(form, "")), re.I):
-                    dated.add(k)
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        props = book.find("m:workbookPr", _NS)
-        epoch = date(1904, 1, 1) if props is not None and props.get("date1904") in ("1", "true") else date(1899, 12, 30)
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for k, sheet in enumerate(book.iterfind("m:sheets/m:sheet", _NS)):
-            target = targets[sheet.get(f"{{{_NS['r']}}}id")].lstrip("/")
-            with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
-                at = 0
-                for _, row in ElementTree.iterparse(f):
-                    if row.tag != f"{{{_NS['m']}}}row":
-                        continue
-                    at = int(row.get("r", at + 1))
-                    values: list[str] = []
-                    for cell in row.iterfind("m:c", _NS):
-                        col = _column(cell.get("r")) if cell.get("r") else len(values) + 1
-                        values += [""] * (col - len(values))
-                        v = cell.find("m:v", _NS)
-                        text = "" if v is None else v.text or ""
-                        kind = cell.get("t")
-                        if kind == "s" and text:
-                            text = shared[int(text)]
-                        elif kind == "inlineStr":
-                            text = "".join(t.text or "" for t in cell.iter(f"{{{_NS['m']}}}t"))
-                        elif kind is None and text and int(cell.get("s", 0)) in dated:
-                            text = (epoch + timedelta(days=int(float(text)))).isoformat()
-                        values[col - 1] = text
-                    yield k, sheet.get("name"), at, values
-                    row.clear()
+        yield 0, "", n, row, ["s"] * len(row), None
+
+
+def _workbook_rows(content: bytes) -> Iterator[tuple]:
+    book = Book(content)
+    for sheet in book.sheets:
+        at, values, kinds = None, [], []
+        for r, c, value, kind, *_ in book.cells(sheet):
+            if r != at and at is not None:
+                yield sheet.index, sheet.name, at, values, kinds, book.epoch.isoformat()
+                values, kinds = [], []
+            at = r
+            values += [""] * (c - len(values))
+            kinds += [""] * (c - len(kinds))
+            values[c - 1], kinds[c - 1] = value, kind
+        if at is not None:
+            yield sheet.index, sheet.name, at, values, kinds, book.epoch.isoformat()
 
 
 def grid(spark: SparkSession, path: str) -> DataFrame:
@@ -95,10 +62,10 @@ def grid(spark: SparkSession, path: str) -> DataFrame:
                     elif low.endswith((".xlsx", ".xlsm")):
                         rows = list(_workbook_rows(content))
                     else:
-                        rows = [(-1, "", 0, ["unsupported_extension"])]
-                except (UnicodeDecodeError, csv.Error, zipfile.BadZipFile, KeyError, ValueError, IndexError, ElementTree.ParseError) as e:
-                    rows = [(-1, "", 0, [f"unreadable_input: {type(e).__name__}"])]
-                yield pd.DataFrame([(name, *r) for r in rows], columns=["file", "sheet_index", "sheet", "row", "values"])
+                        rows = [(-1, "", 0, ["unsupported_extension"], [""], None)]
+                except (csv.Error, *UNREADABLE) as e:
+                    rows = [(-1, "", 0, [f"unreadable_input: {type(e).__name__}"], [""], None)]
+                yield pd.DataFrame([(name, *r) for r in rows], columns=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return raw.select("path", "content").mapInPandas(read, SCHEMA)
 
@@ -108,12 +75,51 @@ _EXTRACTION = T.StructType([T.StructField("source", T.StringType()), T.StructFie
 
 
 def extraction(spark: SparkSession, path: str) -> DataFrame:
-    """Records of extraction JSON files: one without a confidence has 0; items that are no objects are skipped."""
+    """Records of extraction JSON files in the contract's fields, with their file and place.
+
+    One without a confidence has 0; items that are no objects are skipped; dates stay as they are
+    written. A money text gives amount and currency as in a table; currencies that exclude each other
+    are `conflict`.
+    """
     raw = spark.read.schema(_EXTRACTION).option("multiLine", "true").json(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1)
-    rows = raw.select(F.coalesce("source", name).alias("from"), F.posexplode("records").alias("pos", "r")).where("r is not null")
+    named = F.col("_metadata.file_path")
+    rows = raw.select(named.alias("file"), F.coalesce("source", F.regexp_extract(named, "([^/]*)$", 1)).alias("from"), F.posexplode("records").alias("pos", "r")).where("r is not null")
     file = F.coalesce("r.source_file", "from")
     region = F.when(F.coalesce("r.source_region", F.lit("")) != "", F.concat(F.lit("@"), "r.source_region")).otherwise("")
-    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("r.confidence").try_cast("double"), F.lit(0.0))))
+    read = F.coalesce(F.col("r.confidence").try_cast("double"), F.lit(0.0))
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(read), 0.0).otherwise(read)))
     clean = [F.trim(F.coalesce(f"r.{f}", F.lit(""))).alias(f) for f in ("location", "event_date", "identifier", "category")]
-    return rows.select(*clean, confidence.alias("confidence"), F.concat(file, region).alias("source"), file.alias("source_file"), F.lit("").alias("source_sheet"), F.lit(None).cast("int").alias("source_row"), F.coalesce("r.source_region", F.lit("")).alias("source_region"), F.col("r.amount").alias("amount_text"), F.col("r.currency").alias("currency_text"), "pos")
+    money = F.col("r.amount")
+    return rows.select(
+        *clean, confidence.alias("confidence"), F.concat(file, region).alias("source"), file.alias("source_file"), F.lit("").alias("source_sheet"), F.lit(None).cast("int").alias("source_row"), F.coalesce("r.source_region", F.lit("")).alias("source_region"),
+        V.amount(money).alias("amount"), V.resolved_currency(V.detected_currency(money), V.currency_evidence(F.col("r.currency"))).alias("currency"), "file", "pos",
+    )
+
+
+def input_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of several inputs, each a file or a folder: by suffix tables or extraction JSON.
+
+    records: the contract's fields, input (the path as given), and row_index (number of the input, file,
+    sheet row or place), so that their order is that of the inputs. failures: (input, file, code). An input
+    of another suffix is refused before anything is read.
+    """
+    from tabulith.operators import layout
+
+    every, failed = None, spark.createDataFrame([], "input string, file string, code string")
+    for k, path in enumerate(paths):
+        low = path.lower()
+        if low.endswith(JSON):
+            own = extraction(spark, path)
+            own = own.withColumn("row_index", F.struct(F.lit(k).alias("input"), F.col("file"), F.col("pos").alias("row"))).drop("file", "pos")
+        elif low.endswith(GRIDS) or "." not in low.rstrip("/").rpartition("/")[2]:
+            table = grid(spark, path)
+            own = layout.records(table)
+            own = own.withColumn("row_index", F.struct(F.lit(k).alias("input"), F.col("row_index.file").alias("file"), F.col("row_index.row").alias("row")))
+            failed = failed.unionByName(layout.failures(table).select(F.lit(path).alias("input"), "file", F.col("reason").alias("code")))
+        else:
+            raise ValueError(f"unsupported input: {path}")
+        own = own.withColumn("input", F.lit(path))
+        every = own if every is None else every.unionByName(own)
+    if every is None:
+        raise ValueError("no inputs")
+    return every, failed

@@ -56,9 +56,9 @@ def test_unreadable_and_unsupported(spark, tmp_path):
 def test_end_to_end(spark, inputs, tmp_path):
     doc = {"source": "scan.png", "records": [{"location": "North Site", "event_date": "2026-09-09", "identifier": "C-1", "category": "routine", "confidence": 0.99, "source_region": "page=1"}] + 2 * [{"location": "South Yard", "event_date": "2026-09-09", "identifier": "C-2", "category": "routine", "confidence": 0.97}]}
     (tmp_path / "c.json").write_text(json.dumps(doc))
-    tables = layout.records(grids.grid(spark, str(inputs))).withColumn("row_index", F.concat(F.lit("0"), "source"))
-    scanned = grids.extraction(spark, str(tmp_path / "c.json")).withColumn("row_index", F.concat(F.lit("1"), F.col("pos").cast("string")))
-    records = tables.unionByName(scanned.drop("pos", "amount_text", "currency_text"), allowMissingColumns=True)
+    tables = layout.records(grids.grid(spark, str(inputs))).withColumn("row_index", F.struct(F.lit(0).alias("input"), F.col("source_file").alias("file"), F.col("source_row").alias("row")))
+    scanned = grids.extraction(spark, str(tmp_path / "c.json")).withColumn("row_index", F.struct(F.lit(1).alias("input"), F.col("source_file").alias("file"), F.col("pos").alias("row")))
+    records = tables.unionByName(scanned.drop("pos", "file"), allowMissingColumns=True)
     targets = spark.createDataFrame([("North Site", ["N"]), ("South Yard", ["S"])], "key string, aliases array<string>")
     out = route.routed(records, targets).cache()
     counts = route.status_counts(out).first().asDict()
