@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ BLOCK_IDS = 1 << 16
 #: Bytes up to which the shards' sizes, a row for each file, are broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Parts that a worker keeps; twice as many at most.
-KEPT_CHUNKS = 350_000
+KEPT_CHUNKS = 1_000_000
 
+#: White space, and the mark of what is irregular.
+_ODD = re.compile(r"[\s\0]")
 #: ASCII digits and punctuation: what may follow the letters of a part.
 _TAIL = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalpha())
 
@@ -48,14 +52,11 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 
 
 def parts_of(text: str) -> list[str]:
-    """The text in parts that encode independently of each other.
+    """The text in parts that encode independently of each other, whatever white space it holds.
 
     A part is what follows a single space, or a single line feed and what follows it (so begins the
     first part, whose line feed is not of the text), or after a zero byte something irregular.
     """
-    spaced = text.replace("\n", " ")
-    if " ".join(text.split()) == spaced and "\0" not in text:
-        return ("\n" + text).replace("\n", " \n")[1:].split(" ")
     out, held = ["\n"], ""
     for k, part in enumerate(text.split(" ")):
         if k and held and not held[-1].isspace() and part and not part[0].isspace():
@@ -64,16 +65,18 @@ def parts_of(text: str) -> list[str]:
         else:
             held += " " * (k > 0) + part
     out.append(held)
-    return ["\n", *[c[1:] if c[0] == " " and c[1:].split() == [c[1:]] and c[1] != "\0" else "\0" + c for c in out[1:] if c]]
+    return ["\n", *[c[1:] if c[0] == " " and _ODD.search(c, 1) is None and len(c) > 1 else "\0" + c for c in out[1:] if c]]
 
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers in bytes.
 
-    What a part encodes to is kept for later texts, and so is what its letters and the rest of it do;
-    both are forgotten by generations. units() encodes what was not there.
+    What a part encodes to is kept for later texts, with by_letters also what its letters and the rest
+    of it do; both are forgotten by generations. units() encodes what was not there.
     """
 
+    by_letters, most = False, KEPT_CHUNKS
+
     def __init__(self) -> None:
         self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.kept: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -82,57 +85,113 @@ class Encoder:
     def units(self, units: list[str]) -> list[bytes]:
         raise NotImplementedError
 
-    @staticmethod
-    def _aged(pair: tuple[dict, dict]) -> tuple[dict, dict]:
-        return ({}, pair[0]) if len(pair[0]) > KEPT_CHUNKS else pair
-
-    @staticmethod
-    def _missing(pair: tuple[dict, dict], keys: Iterable[str]) -> list[str]:
-        """The distinct keys that neither generation has; those of the old one move to the new one."""
-        new, old = pair
-        out = []
-        for k in dict.fromkeys(keys):
-            if k not in new:
-                got = old.get(k)
-                if got is None:
-                    out.append(k)
-                else:
-                    new[k] = got
-        return out
-
-    def _split(self, part: str) -> tuple[str, ...]:
-        """The units of a part, without its line feed; an irregular one keeps its zero byte."""
-        if part[0] == "\0":
-            return (part,)
-        body = part[1:] if part[0] == "\n" else " " + part
-        stem = part.rstrip(_TAIL)
-        cut = len(part) - len(stem)
-        if cut and (stem[1:] if part[0] == "\n" else stem).isalpha():
-            return (body[:-cut], body[-cut:])
-        return (body,) if body else ()
+    def _aged(self, pair: tuple[dict, dict]) -> tuple[dict, dict]:
+        return ({}, pair[0]) if len(pair[0]) > self.most else pair
+
+    def _learned(self, parts: Iterable[str]) -> set[str]:
+        """Keep what distinct parts encode to, each a unit of its own; returned are those that are none: empty, or with white space of their own."""
+        (new, old), feed, odd = self.parts, self.feed, set()
+        fresh: list[str] = []
+        units: list[str] = []
+        for part in parts:
+            got = old.get(part)
+            if got is not None:
+                new[part] = got
+                continue
+            head = part[:1]
+            if head == "\0":
+                own = part
+            elif head == "\n":
+                own = part[1:]
+            else:
+                own = " " + part
+            if head != "\0" and (len(part) < 1 + (head == "\n") or _ODD.search(part, head == "\n")):
+                odd.add(part)
+                continue
+            fresh.append(part)
+            units.append(own)
+        if units:
+            for part, ids in zip(fresh, self.units(units), strict=True):
+                new[part] = feed + ids if part[0] == "\n" else ids
+        return odd
+
+    def _learned_by_letters(self, parts: Iterable[str]) -> set[str]:
+        """The same for encoders to which a unit is dear: letters and the punctuation after them are units of their own.
+
+        Keep what distinct parts encode to; returned are those that are none: empty, or with white space of their own."""
+        (new, old), (kept, before), feed = self.parts, self.kept, self.feed
+        odd: set[str] = set()
+        whole: list[tuple[str, str]] = []
+        cut: list[tuple[str, str, str]] = []
+        lacking: dict[str, None] = {}
+        for part in parts:
+            got = old.get(part)
+            if got is not None:
+                new[part] = got
+                continue
+            line = part[:1] == "\n"
+            body = part[1:] if line else part
+            stem = body.rstrip(_TAIL)
+            tail = body[len(stem) :]
+            if tail and stem.isalpha():
+                own = stem if line else " " + stem
+                cut.append((part, own, tail))
+                if tail not in kept:
+                    lacking[tail] = None
+            elif part[:1] == "\0":
+                own = part
+                whole.append((part, part))
+            elif not body or _ODD.search(body):
+                odd.add(part)
+                continue
+            else:
+                own = body if line else " " + body
+                whole.append((part, own))
+            if own not in kept:
+                lacking[own] = None
+        fresh = []
+        for unit in lacking:
+            got = before.get(unit)
+            if got is None:
+                fresh.append(unit)
+            else:
+                kept[unit] = got
+        if fresh:
+            kept.update(zip(fresh, self.units(fresh), strict=True))
+        for part, own in whole:
+            new[part] = feed + kept[own] if part[0] == "\n" else kept[own]
+        for part, own, tail in cut:
+            got = kept[own] + kept[tail]
+            new[part] = feed + got if part[0] == "\n" else got
+        return odd
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [parts_of(t) if t else [] for t in texts]
-        self.parts, self.kept = self._aged(self.parts), self._aged(self.kept)
-        new, feed = self.parts[0], self.feed
+    def _joined(self, split: list[list[str]]) -> tuple[list[bytes], list[int]]:
+        """The ids of texts in parts, and the numbers of those that hold a part which is none."""
+        new = self.parts[0]
         flat = list(chain.from_iterable(split))
         ids = list(map(new.get, flat))
         open_ = [k for k, x in enumerate(ids) if x is None]
-        want = self._missing(self.parts, [flat[k] for k in open_])
-        units = [self._split(p) for p in want]
-        lacking = self._missing(self.kept, chain.from_iterable(units))
-        kept = self.kept[0]
-        if lacking:
-            kept.update(zip(lacking, self.units(lacking), strict=True))
-        for part, own in zip(want, units, strict=True):
-            got = kept[own[0]] if len(own) == 1 else b"".join([kept[u] for u in own])
-            new[part] = feed + got if part[0] == "\n" else got
+        learned = self._learned_by_letters if self.by_letters else self._learned
+        odd = learned(dict.fromkeys([flat[k] for k in open_])) if open_ else ()
+        ends = list(accumulate(map(len, split)))
+        again = sorted({bisect_right(ends, k) for k in open_ if flat[k] in odd}) if odd else []
         for k in open_:
-            ids[k] = new[flat[k]]
-        out, at, skip = [], 0, len(feed)
-        for parts in split:
-            out.append(b"".join(ids[at : at + len(parts)])[skip:])
-            at += len(parts)
+            ids[k] = new.get(flat[k], b"")
+        at, skip, out = 0, len(self.feed), []
+        for end in ends:
+            out.append(b"".join(ids[at:end])[skip:])
+            at = end
+        return out, again
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.parts, self.kept = self._aged(self.parts), self._aged(self.kept)
+        out, again = self._joined([("\n" + t).replace("\n", " \n")[1:].split(" ") if t and "\0" not in t else [] for t in texts])
+        again += [k for k, t in enumerate(texts) if "\0" in t]
+        if again:  # with other white space than single spaces and line feeds
+            self.parts[0]["\n"] = self.feed
+            for k, ids in zip(again, self._joined([parts_of(texts[k]) for k in again])[0], strict=True):
+                out[k] = ids
+            del self.parts[0]["\n"]
         return out
 
 

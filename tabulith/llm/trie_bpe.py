@@ -37,6 +37,8 @@ def byte_letters() -> dict[str, int]:
 class TrieEncoder(tokens.Encoder):
     """units() by the trie walk; decode() by the tokens' bytes."""
 
+    by_letters, most = True, 350_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             about = json.load(f)
