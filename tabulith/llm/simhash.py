@@ -1,14 +1,17 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
 A fingerprint is cut into blocks; of two fingerprints that differ in at most t bits, some block
-differs in at most t // blocks. In each block the words of a covering code are the anchors: every
-value has one within the radius R, so two values that differ by d share each anchor that lies
-within R of one of them and hence within R + d of the other. A fingerprint is replicated to all
-anchors within R + t // blocks, and fingerprints are compared per anchor.
-
-The code of a block is the perfect Hamming code of 15 bits (R = 1), times all words of the other
-bits. Copies have one fingerprint and are compared once. Per anchor a spanning forest of the links
-is kept, not the pairs: its trees have the components of the full graph.
+differs in at most d = t // blocks. In each block the words of a covering code are the anchors: every
+value has one within the radius R, its home. A value that differs by d from another is within R + d of
+that one's home. So a fingerprint is replicated to all anchors within R + d, and per anchor those at
+home there are compared with all that came.
+
+The code of a block is a perfect Hamming code (R = 1), times all words of the block's other bits. Fewer
+and wider blocks mean more replicas and far fewer comparisons: with n fingerprints three blocks take
+45 replicas and about n / 3,000 comparisons each, two blocks 343 and n / 390,000. Which it is follows
+from the number of fingerprints; both find every link. Copies have one fingerprint and are compared
+once. Per anchor a spanning forest of the links is kept, not the pairs: its trees have the components
+of the full graph.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm import _blobs, _rows, _spark, components
-from tabulith.llm._words import slices
+from tabulith.llm._words import mixed, slices
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
-#: (lowest bit, bits) of the blocks.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 1
+#: (lowest bit, bits, bits of the code) of the blocks; the narrow ones up to so many fingerprints.
+NARROW = ((0, 21, 15), (21, 21, 15), (42, 22, 15))
+WIDE = ((0, 32, 31), (32, 32, 31))
+NARROW_ROWS = 2_000_000
 #: Anchor groups up to this size are compared by shifts of the sorted entries, larger ones node by node.
 SMALL = 64
 
@@ -86,35 +91,57 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 @cache
-def _patterns(bits: int, reach: int) -> list[np.ndarray]:
+def _patterns(bits: int, code: int, reach: int) -> list[np.ndarray]:
     """By syndrome: the error patterns of at most reach bits that lead from a value to a word of the code."""
-    found: list[list[int]] = [[] for _ in range(16)]
+    found: list[list[int]] = [[] for _ in range(code + 1)]
     for weight in range(reach + 1):
         for places in combinations(range(bits), weight):
             syndrome = 0
             for i in places:
-                syndrome ^= i + 1 if i < 15 else 0
+                syndrome ^= i + 1 if i < code else 0
             found[syndrome].append(sum(1 << i for i in places))
-    return [np.array(x, np.uint32) for x in found]
+    return [np.array(x, np.uint64) for x in found]
 
 
-def _syndromes(values: np.ndarray) -> np.ndarray:
+def _syndromes(values: np.ndarray, code: int) -> np.ndarray:
     out = np.zeros(len(values), np.uint8)
-    for i in range(15):
-        out ^= ((values >> np.uint32(i)) & np.uint32(1)).astype(np.uint8) * np.uint8(i + 1)
+    for i in range(code):
+        out ^= ((values >> np.uint64(i)) & np.uint64(1)).astype(np.uint8) * np.uint8(i + 1)
     return out
 
 
-def anchors(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def replicas(blocks: tuple, threshold: int) -> float:
+    """How many anchors a fingerprint goes to, on the average."""
+    return sum(sum(map(len, _patterns(bits, code, RADIUS + threshold // len(blocks)))) / (code + 1) for _, bits, code in blocks)
+
+
+def _values(fps: np.ndarray, low: int, bits: int) -> np.ndarray:
+    return (fps >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+
+
+def anchors(fps: np.ndarray, threshold: int, blocks: tuple = NARROW, rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(anchors, fingerprints): every anchor that each fingerprint has to go to."""
-    reach = RADIUS + threshold // len(BLOCKS)
-    for block, (low, bits) in enumerate(BLOCKS):
-        values = ((fps >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
-        syndromes = _syndromes(values)
-        for s, patterns in enumerate(_patterns(bits, reach)):
-            of = np.flatnonzero(syndromes == s)
-            if len(of) and len(patterns):
-                yield ((values[of, None] ^ patterns[None, :]) | np.uint32(block << 22)).ravel(), np.repeat(fps[of], len(patterns))
+    reach = RADIUS + threshold // len(blocks)
+    for at in range(0, len(fps), rows):
+        some = fps[at : at + rows]
+        for block, (low, bits, code) in enumerate(blocks):
+            values = _values(some, low, bits)
+            syndromes = _syndromes(values, code)
+            for s, patterns in enumerate(_patterns(bits, code, reach)):
+                of = np.flatnonzero(syndromes == s)
+                if len(of) and len(patterns):
+                    yield ((values[of, None] ^ patterns[None, :]) | np.uint64(block << 32)).ravel(), np.repeat(some[of], len(patterns))
+
+
+def at_home(anchor: np.ndarray, fps: np.ndarray, blocks: tuple) -> np.ndarray:
+    """Whether each fingerprint's home is the anchor that it came to: the code's word within RADIUS, the other bits equal."""
+    out = np.zeros(len(fps), bool)
+    block = anchor >> np.uint64(32)
+    for k, (low, bits, code) in enumerate(blocks):
+        own = block == k
+        away = _values(fps[own], low, bits) ^ (anchor[own] & np.uint64((1 << 32) - 1))
+        out[own] = (np.bitwise_count(away) <= RADIUS) & (away >> np.uint64(code) == 0)
+    return out
 
 
 class _Forest:
@@ -137,11 +164,19 @@ class _Forest:
         return True
 
 
-def _grown(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of one large group: each node is held against those not yet reached."""
+def _grown(fps: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a forest of one large group that joins what links at home have.
+
+    From each fingerprint at home that was not reached, all are reached in turn, each held against those
+    not yet reached: what is reached is done with, so that a dense group costs no pairs.
+    """
     rest = fps
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+    open_ = fps[home]
+    for seed in open_:
+        at = np.searchsorted(rest, seed)
+        if at >= len(rest) or rest[at] != seed:
+            continue
+        queue, rest = [seed], np.delete(rest, at)
         while queue and len(rest):
             x = queue.pop()
             near = np.bitwise_count(rest ^ x) <= threshold
@@ -152,26 +187,26 @@ def _grown(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.nda
                 rest = rest[~near]
 
 
-def _linked(anchor: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked(anchor: np.ndarray, fps: np.ndarray, threshold: int, blocks: tuple = NARROW) -> tuple[np.ndarray, np.ndarray]:
     """Links within each anchor's group, reduced to a forest."""
     order = np.lexsort((fps, anchor))
     anchor, fps = anchor[order], fps[order]
     new = np.ones(len(anchor), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (fps[1:] != fps[:-1])
     anchor, fps = anchor[new], fps[new]
+    home = at_home(anchor, fps, blocks)
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     size = np.diff(np.append(first, len(anchor)))
+    size = np.where(np.add.reduceat(home.astype(np.int64), first) > 0, size, 0)  # where nobody is at home nothing is compared
     us, vs = [], []
     for a, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        for u, v in _grown(fps[a : a + n], threshold):
+        for u, v in _grown(fps[a : a + n], home[a : a + n], threshold):
             us.append(u)
             vs.append(v)
-    small = np.repeat(size <= SMALL, size)
-    anchor, fps = anchor[small], fps[small]
+    small = np.repeat((size > 1) & (size <= SMALL), np.diff(np.append(first, len(anchor))))
+    anchor, fps, home = anchor[small], fps[small], home[small]
     for d in range(1, int(size[size <= SMALL].max(initial=1))):
-        at = np.flatnonzero(anchor[d:] == anchor[:-d])
-        if not len(at):
-            break
+        at = np.flatnonzero((anchor[d:] == anchor[:-d]) & (home[d:] | home[:-d]))
         at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= threshold]
         us.append(fps[at])
         vs.append(fps[at + d])
@@ -183,24 +218,25 @@ def _linked(anchor: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.nda
     return pairs[0][keep], pairs[1][keep]
 
 
-def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(fps: DataFrame, threshold: int = THRESHOLD, blocks: tuple | None = None) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) whose components are those of all links."""
     spark = fps.sparkSession
-    replicas = sum(sum(map(len, _patterns(bits, RADIUS + threshold // len(BLOCKS)))) / 16 for _, bits in BLOCKS)
-    n_buckets = _spark.buckets(spark, replicas * _spark.plan_bytes(fps) / 8, 1_000_000)
+    n = fps.count()
+    blocks = blocks or (NARROW if n <= NARROW_ROWS else WIDE)
+    n_buckets = _spark.buckets(spark, replicas(blocks, threshold) * n, 1_000_000)
 
     def replicate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _blobs.Gather(n_buckets)
         for batch in rows:
             values = np.asarray(batch.column(0).drop_null()).view(np.uint64)
-            for anchor, fp in anchors(values, threshold):
-                yield from gather.add((anchor * np.uint32(0x9E3779B1) >> np.uint32(8)).astype(np.int64) % n_buckets, anchor, fp)
+            for anchor, fp in anchors(values, threshold, blocks):
+                yield from gather.add((mixed(anchor) % np.uint64(n_buckets)).astype(np.int64), anchor, fp)
         yield from gather.flush()
 
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, spool in _blobs.spools(rows):
             got = [_blobs.unpacked(blob) for blob in spool]
-            u, v = _linked(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]), threshold)
+            u, v = _linked(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]), threshold, blocks)
             if len(u):
                 yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 

@@ -160,7 +160,27 @@ def test_links_of_near_fingerprints(spark):
     fps = {center} | {center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)}
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    edges = [(r.u % 2**64, r.v % 2**64) for r in simhash.links(df).collect()]
+    for blocks in (simhash.NARROW, simhash.WIDE):
+        forest_of(fps, [(r.u % 2**64, r.v % 2**64) for r in simhash.links(df, blocks=blocks).collect()])
+
+
+def test_links_are_found_at_every_place_of_their_bits():
+    """For each pair of fingerprints that differ in up to 4 bits some anchor holds both, one of them at home."""
+    rng = random.Random(13)
+    for blocks in (simhash.NARROW, simhash.WIDE):
+        for _ in range(60):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << x for x in rng.sample(range(64), rng.randint(1, 4)))
+            fps = np.array([a, b], np.uint64)
+            got = [np.concatenate(x) for x in zip(*simhash.anchors(fps, 4, blocks), strict=True)]
+            u, v = simhash._linked(*got, 4, blocks)
+            assert {int(u[0]) % 2**64, int(v[0]) % 2**64} == {a, b} and len(u) == 1
+            homes = simhash.at_home(*got, blocks)
+            assert all(homes[got[1] == f].sum() == len(blocks) for f in fps)
+
+
+def forest_of(fps, edges):
+    """Edges are links, and join what all links join."""
     assert all((a ^ b).bit_count() <= 4 for a, b in edges)
     want = components_of(dict(enumerate(fps)))
     place = {f: k for k, f in enumerate(fps)}
