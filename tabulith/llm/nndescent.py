@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulith.llm import _blobs, _rows, _spark
@@ -32,6 +32,12 @@ from tabulith.llm.voronoi import finite, matrix
 
 K = 32
 TREES, LEAF = 4, 256
+#: Levels that a stage of a tree adds, rows of a node that its cuts are taken from, rows up to which a node is split where it lies.
+LEVELS, NODE_SAMPLE, LOCAL_ROWS = 7, 8192, 65_536
+#: Bytes of a stage's cuts up to which they are broadcast; beyond, they are joined.
+BROADCAST_BYTES = 16 << 20
+#: Vectors asked for in one bucket of the graph in a step, beyond which the asks are dealt to copies of it.
+HOT_ASKS = 200_000
 #: Reverse neighbours that a vector meets in a round, by a hash of the pair; the graph is approximate anyhow.
 REVERSE = 24
 #: What a link has before it: to be met where it starts, where it ends. The two flags of a new link, and no flag of an old one.
@@ -116,36 +122,103 @@ def clean(vectors: DataFrame) -> DataFrame:
     """The vectors that take part, as doubles."""
     rows = vectors.where(finite("embedding") & F.col("vec_id").isNotNull())
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rows.where(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"])
+    return rows.where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _leaves(rows: DataFrame, dim: int, n: int, tree: int, most: float) -> DataFrame:
-    """(bucket, vec_id, v): the leaf of each vector in a tree of random hyperplanes (medians of a bounded sample)."""
-    depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
-    sample = rows.select("vec_id", "v").where(F.pmod(F.xxhash64("vec_id", F.lit(tree)), F.lit(max(1, n // 8192))) == 0).select("v").toPandas()["v"]
-    x = _lifted(np.array(sample.tolist(), np.float64).reshape(-1, dim), most)
-    planes = np.random.default_rng(1000 + tree).normal(size=(depth, dim + 1))
+def _cuts(x: np.ndarray, planes: np.ndarray) -> list[np.ndarray]:
+    """By level the medians, in each node, of the sides of a plane; 0 where a node has no row."""
     cuts: list[np.ndarray] = []
     leaf = np.zeros(len(x), np.int64)
-    for d in range(depth):
-        side = x @ planes[d]
-        middle = np.array([np.median(side[leaf == k]) if (leaf == k).any() else 0.0 for k in range(1 << d)])
+    for d, plane in enumerate(planes):
+        side = x @ plane
+        order = np.lexsort((side, leaf))
+        edge = np.searchsorted(leaf[order], np.arange((1 << d) + 1))
+        size = np.diff(edge)
+        middle = np.zeros(1 << d)
+        full = size > 0
+        low, high = edge[:-1][full] + (size[full] - 1) // 2, edge[:-1][full] + size[full] // 2
+        middle[full] = (side[order][low] + side[order][high]) / 2
         cuts.append(middle)
         leaf = 2 * leaf + (side > middle[leaf])
+    return cuts
+
+
+def _below(x: np.ndarray, planes: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The node of each row below one that has these cuts."""
+    leaf = np.zeros(len(x), np.int64)
+    for plane, middle in zip(planes, cuts, strict=True):
+        leaf = 2 * leaf + (x @ plane > middle[leaf])
+    return leaf
+
+
+def _leaves(rows: DataFrame, dim: int, n: int, tree: int, most: float) -> DataFrame:
+    """(bucket, vec_id, v): the node of each vector in a tree of random hyperplanes, small enough to be split where it lies.
+
+    A stage cuts every node by LEVELS planes, at the medians of NODE_SAMPLE of its rows. The first takes
+    its sample to the driver, later ones take theirs node by node in Spark, so that what the driver holds
+    does not grow with the rows.
+    """
+    depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
+    rng = np.random.default_rng(1000 + tree)
+    levels = min(depth, LEVELS)
+    planes = rng.normal(size=(levels, dim + 1))
+    sample = rows.select("vec_id", "v").where(F.pmod(F.xxhash64("vec_id", F.lit(tree)), F.lit(max(1, n // NODE_SAMPLE))) == 0).select("v").toPandas()["v"]
+    first = _cuts(_lifted(np.array(sample.tolist(), np.float64).reshape(-1, dim), most), planes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _lifted(matrix(batch.column("v"), dim), most)
-            leaf = np.zeros(len(v), np.int64)
-            for d in range(depth):
-                leaf = 2 * leaf + (v @ planes[d] > cuts[d][leaf])
+            leaf = _below(_lifted(matrix(batch.column("v"), dim), most), planes, first)
             yield pa.record_batch([pa.array(leaf.astype(np.int32)), batch.column("vec_id"), batch.column("v")], names=["bucket", "vec_id", "v"])
 
-    return _spark.arrow_map(rows.select("vec_id", "v"), place, "bucket int, vec_id long, v array<double>")
+    out, nodes, stage = _spark.arrow_map(rows.select("vec_id", "v"), place, "bucket int, vec_id long, v array<double>"), 1 << levels, 0
+    while n / nodes > LOCAL_ROWS:
+        stage += 1
+        levels = min(LEVELS, int(np.ceil(np.log2(n / nodes / LEAF))))
+        out = _refined(_spark.stored(out, "nodes"), dim, nodes, rng.normal(size=(levels, dim + 1)), most, stage)
+        nodes <<= levels
+    return out
+
+
+def _refined(out: DataFrame, dim: int, nodes: int, planes: np.ndarray, most: float, stage: int) -> DataFrame:
+    """Nodes cut by some more planes, each at the medians of a sample of its own."""
+    by_luck = Window.partitionBy("bucket").orderBy(F.xxhash64("vec_id", F.lit(stage)), "vec_id")
+    some = out.withColumn("r", F.row_number().over(by_luck)).where(F.col("r") <= NODE_SAMPLE).select("bucket", "v")
+
+    def cut(node: pa.Table) -> pa.Table:
+        x = _lifted(matrix(node.column("v").combine_chunks(), dim), most)
+        blob = np.concatenate(_cuts(x, planes)).tobytes()
+        return pa.table([node.column("bucket").combine_chunks().slice(0, 1), pa.array([blob], pa.binary())], names=["bucket", "cuts"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = np.asarray(batch.column("bucket"))
+            x, leaf = _lifted(matrix(batch.column("v"), dim), most), np.zeros(batch.num_rows, np.int64)
+            for b in np.unique(bucket):
+                own = np.flatnonzero(bucket == b)
+                flat = np.frombuffer(batch.column("cuts")[int(own[0])].as_py(), np.float64)
+                leaf[own] = _below(x[own], planes, [flat[(1 << d) - 1 : (2 << d) - 1] for d in range(len(planes))])
+            yield pa.record_batch([pa.array(((bucket.astype(np.int64) << len(planes)) + leaf).astype(np.int32)), batch.column("vec_id"), batch.column("v")], names=["bucket", "vec_id", "v"])
+
+    cuts = some.groupBy("bucket").applyInArrow(cut, _blobs.SCHEMA.replace("blob", "cuts"))
+    small = nodes * ((1 << len(planes)) - 1) * 8 <= BROADCAST_BYTES
+    return _spark.arrow_map(out.join(F.broadcast(cuts) if small else cuts, "bucket"), place, "bucket int, vec_id long, v array<double>")
+
+
+def _halves(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Places of rows in leaves of at most LEAF, by halving along random planes; equal rows are halved as well."""
+    todo = [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= LEAF:
+            yield own
+            continue
+        side = x[own] @ rng.normal(size=x.shape[1])
+        order = own[np.argsort(side, kind="stable")]
+        todo += [order[: len(own) // 2], order[len(own) // 2 :]]
 
 
 def _partners(leaves: DataFrame, dim: int, n_buckets: int, k: int, most: float) -> DataFrame:
-    """Exact partners within each leaf, a leaf in blocks of rows, sent to the buckets of their vectors."""
+    """Exact partners within each leaf, sent to the buckets of their vectors; a node too large to be held is split in parts."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _blobs.Gather(n_buckets)
@@ -153,8 +226,8 @@ def _partners(leaves: DataFrame, dim: int, n_buckets: int, k: int, most: float)
         def solve(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.argsort(ids)
             ids, x = ids[order], x[order]
-            for a in range(0, len(ids), 2048):  # a leaf that equal vectors fill is met in blocks
-                own, y = ids[a : a + 2048], x[a : a + 2048]
+            for leaf in _halves(x, np.random.default_rng(len(ids))):
+                own, y = ids[leaf], x[leaf]
                 s = (y @ y.T).astype(np.float32)
                 np.fill_diagonal(s, -np.inf)
                 m = min(k, len(own) - 1)
@@ -164,21 +237,18 @@ def _partners(leaves: DataFrame, dim: int, n_buckets: int, k: int, most: float)
                     yield from gather.add(_deal(own[rows], n_buckets), own[rows].view(np.uint64), own[at.ravel()].view(np.uint64), s[rows, at.ravel()].view(np.uint32))
 
         held: list[pa.RecordBatch] = []
-        key = None
+        key, size = None, 0
         for batch in batches:
             leaf = np.asarray(batch.column("bucket"))
             edges = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if a == b:
                     continue
-                if leaf[a] != key and held:
+                if held and (leaf[a] != key or size >= 2 * LOCAL_ROWS):
                     yield from solve(*_unit(held, dim, most))
-                    held = []
-                key = leaf[a]
+                    held, size = [], 0
+                key, size = leaf[a], size + b - a
                 held.append(batch.slice(a, b - a))
-                if sum(h.num_rows for h in held) >= 2048:
-                    yield from solve(*_unit(held, dim, most))
-                    held = []
         if held:
             yield from solve(*_unit(held, dim, most))
         yield from gather.flush()
@@ -405,14 +475,21 @@ def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int,
                     edges = [0, *(np.flatnonzero(np.diff(to[order])) + 1).tolist(), len(to)] if len(to) else []
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         parts.setdefault(int(to[order[a]]), []).append((x["query"], x["q"], least, x["want"][order[a:b]]))
-                yield from _blobs.batches((b, _save(y)) for b, y in parts.items())
+                if parts:
+                    yield pa.record_batch([pa.array(list(parts), pa.int32()), pa.array([_save(y) for y in parts.values()], pa.binary()), pa.array([sum(len(z[3]) for z in y) for y in parts.values()], pa.int64())], names=["bucket", "blob", "n"])
 
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Scores and neighbours of the vectors asked for."""
-        parts: dict[int, list] = {}
-        if left.num_rows and right.num_rows:
-            ids, v, node, _, _ = _load(left.column("blob")[0])
-            for blob in right.column("blob"):
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores and neighbours of the vectors asked for: the graph's bucket comes first, then the asks one after the other."""
+        at_hand: tuple[int, list] = (-1, [])
+        for batch in batches:
+            for bucket, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+                if kind == 0:
+                    at_hand = bucket, _load(blob)
+                    continue
+                if at_hand[0] != bucket:
+                    continue  # no vector is there
+                ids, v, node, _, _ = at_hand[1]
+                parts: dict[int, list] = {}
                 for query, q, least, want in _load(blob):
                     at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
                     at = at[ids[at] == want]
@@ -420,7 +497,16 @@ def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int,
                     ok = s >= least
                     if ok.any():
                         parts.setdefault(int(_deal(np.array([query]), n_buckets)[0]), []).append((query, ids[at[ok]], s[ok], node[at[ok]]))
-        return pa.Table.from_batches(list(_blobs.batches((b, _save(x)) for b, x in parts.items())), schema=_blobs.ARROW)
+                yield from _blobs.batches((b, _save(x)) for b, x in parts.items())
+
+    def answered(wanted: DataFrame) -> DataFrame:
+        """A bucket that many ask of is copied, and the asks are dealt to the copies: no hub is one task's work."""
+        copies = F.ceil(F.col("n") / HOT_ASKS).cast("int").alias("copies")
+        hot = wanted.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_ASKS).select("bucket", copies)  # one for each HOT_ASKS at most
+        asks = wanted.join(F.broadcast(hot), "bucket", "left").select("bucket", F.pmod(F.xxhash64("blob"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"), F.lit(1).alias("kind"), "blob")
+        there = graph.join(F.broadcast(hot), "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), F.lit(0).alias("kind"), "blob")
+        both = there.unionByName(asks).repartition("bucket", "copy").sortWithinPartitions("bucket", "copy", "kind")
+        return _spark.arrow_map(both.select("bucket", "kind", "blob"), answer, _blobs.SCHEMA)
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, blobs, open_ = [], [], []
@@ -457,8 +543,7 @@ def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int,
     now = _spark.stored(_spark.arrow_map(asked.select("query_id", "q", "entry"), begin, _blobs.SCHEMA), "beams")
     graph = state.select("bucket", "blob")
     while True:
-        wanted = _spark.arrow_map(now.select("bucket", "blob"), ask, _blobs.SCHEMA)
-        back = graph.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(answer, _blobs.SCHEMA)
+        back = answered(_spark.stored(_spark.arrow_map(now.select("bucket", "blob"), ask, _blobs.SCHEMA + ", n long"), "asks"))
         now = _spark.stored(now.select("bucket", "blob").groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(step, _blobs.SCHEMA + ", open long"), "beams")
         if not now.agg(F.sum("open")).first()[0]:
             break
@@ -471,7 +556,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
     vectors: vec_id, embedding; is_query: a condition on vec_id. All rows are indexed; candidates are
     all but those of the query's own id. Vectors that are null, empty, zero, or hold null or
     non-finite components, or have no id take no part; vectors of each length have a graph of their
-    own. vec_id is taken as a key: of rows with one id, one is indexed. An empty table gives an empty
+    own. vec_id is taken as a key: of rows with one id the smallest vector is indexed. An empty table gives an empty
     result. Equal vectors are ties, which go to the smaller vec_id among those found.
     """
     rows = _spark.stored(clean(vectors), "vectors").withColumn("dim", F.size("v"))

@@ -86,6 +86,30 @@ def test_nearest(spark, rows):
     assert nndescent.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_trees_of_several_stages_and_copied_buckets(spark, rows, monkeypatch):
+    """Every stage of a tree deals all rows on, into nodes about as large; a bucket that many ask of gives the same answers."""
+    monkeypatch.setattr(nndescent, "LEVELS", 2)
+    monkeypatch.setattr(nndescent, "LOCAL_ROWS", 16)
+    monkeypatch.setattr(nndescent, "LEAF", 8)
+    df = spark.createDataFrame([(i, v) for i, v, _ in rows], "vec_id long, v array<double>")
+    most = float(max(np.linalg.norm(v) for _, v, _ in rows))
+    for limit in (nndescent.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(nndescent, "BROADCAST_BYTES", limit)
+        got = nndescent._leaves(df, 16, len(rows), 1, most).select("bucket", "vec_id").collect()
+        assert sorted(r.vec_id for r in got) == sorted(i for i, *_ in rows)
+        sizes = np.bincount([r.bucket for r in got])
+        assert sizes.max() <= 40 and (sizes > 0).sum() > 30
+    monkeypatch.undo()
+    x = np.array([v for _, v, _ in rows], np.float64)
+    parts = list(nndescent._halves(np.concatenate([x, np.zeros((900, 16))]), np.random.default_rng(1)))
+    assert sorted(np.concatenate(parts)) == list(range(len(x) + 900)) and max(map(len, parts)) <= nndescent.LEAF
+    state, n_buckets = nndescent.build(df, 16, len(rows), most)
+    asked = df.where("vec_id % 40 = 0").selectExpr("vec_id as query_id", "v as q", "array(vec_id) as entry")
+    plain = nndescent.search(state, 16, n_buckets, asked, 20).collect()
+    monkeypatch.setattr(nndescent, "HOT_ASKS", 3)
+    assert sorted(map(tuple, nndescent.search(state, 16, n_buckets, asked, 20).collect())) == sorted(map(tuple, plain))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (7, 7), (None, 1), (2, 1), *[(100, k) for k in range(101, 140)], (139, 6)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
