@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,14 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one is made only where the session names none."""
+    """The folder that all executors see. A local one is made only where the session names none and all runs on this machine."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         got = found.get() if found.isDefined() else None
     if not got:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         got = tempfile.mkdtemp(prefix="tabulith-")
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
@@ -41,7 +44,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if _made is not None:
+        _made.append(path)
+    return out
+
+
+_made: list[str] | None = None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table of stored() that nothing reads any more: what came of it is written."""
+    if hasattr(df, "stored_at"):
+        _delete(df.sparkSession, df.stored_at)
+
+
+@contextmanager
+def only(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables that are stored within, but for those that the caller adds to the list that it gets."""
+    global _made
+    outer, _made, keep = _made, [], []
+    try:
+        yield keep
+    finally:
+        for path in _made:
+            if path not in keep:
+                _delete(spark, path)
+        _made = outer
+        if outer is not None:
+            outer += keep
 
 
 def free_shuffles(spark: SparkSession) -> None:

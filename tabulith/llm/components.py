@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (u, v): root is the smallest node that it reaches.
 
     Each round ends in a table in the shared folder, so neither the lineage nor the loss of an
-    executor lengthens it. Rounds grow with the logarithm of the longest path. Loops and repeated
+    executor lengthens it. Rounds grow with the logarithm of the longest path. A root that many nodes have
+    is a hot key on one side of the joins only, and one row on the other: Spark splits such joins. Loops and repeated
     edges do no harm; a null end is dropped; an empty table gives an empty result.
     """
     now = _spark.stored(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -36,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         got = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(got) == sign or got[0] == 0:
             break
-        sign = tuple(got)
+        sign, last = tuple(got), now
         now = _spark.stored(_small_star(_large_star(now)), "stars")
+        _spark.dropped(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -421,6 +421,7 @@ def _round(state: DataFrame, dim: int, n_buckets: int, k: int, most: float, turn
     better = _spark.arrow_map(_blobs.exchanged(sent), compare, _blobs.SCHEMA)
     merged = state.select("bucket", "blob").groupBy("bucket").cogroup(better.groupBy("bucket")).applyInArrow(merge, _blobs.SCHEMA + ", changed long")
     now = _spark.stored(merged, "graph")
+    _spark.dropped(state)
     _spark.free_shuffles(state.sparkSession)
     return now, now.agg(F.coalesce(F.sum("changed"), F.lit(0))).first()[0]
 
@@ -543,8 +544,11 @@ def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int,
     now = _spark.stored(_spark.arrow_map(asked.select("query_id", "q", "entry"), begin, _blobs.SCHEMA), "beams")
     graph = state.select("bucket", "blob")
     while True:
-        back = answered(_spark.stored(_spark.arrow_map(now.select("bucket", "blob"), ask, _blobs.SCHEMA + ", n long"), "asks"))
+        asks, last = _spark.stored(_spark.arrow_map(now.select("bucket", "blob"), ask, _blobs.SCHEMA + ", n long"), "asks"), now
+        back = answered(asks)
         now = _spark.stored(now.select("bucket", "blob").groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(step, _blobs.SCHEMA + ", open long"), "beams")
+        _spark.dropped(asks)
+        _spark.dropped(last)
         if not now.agg(F.sum("open")).first()[0]:
             break
     return _spark.arrow_map(now.select("bucket", "blob"), finish, "query_id long, rank int, vec_id long, score double")
