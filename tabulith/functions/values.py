@@ -87,8 +87,26 @@ def resolved_currency(detected: Column, declared: Column) -> Column:
     return F.when(detected.isNotNull() & declared.isNotNull(), both).otherwise(F.coalesce(declared, detected, F.lit("")))
 
 
-def number(text: Column, locale: str | None = None) -> Column:
-    """struct(value, locale, ambiguous) of a number written in some locale."""
+#: What is known of a value so far, by name; a step adds to it.
+Known = dict[str, Column]
+Step = Callable[[Known], Known]
+
+
+def _bound(first: Known, steps: list[Step], last: Callable[[Known], Column]) -> Column:
+    """last of what the steps find, each value computed once: every step binds a struct of all that is known."""
+
+    def then(p: Known, rest: list[Step]) -> Column:
+        if not rest:
+            return last(p)
+        more = rest[0](p)
+        names = [*p, *more]
+        return let(F.struct(*[(p | more)[k].alias(k) for k in names]), lambda x: then({k: x[k] for k in names}, rest[1:]))
+
+    return then(first, steps)
+
+
+def _number_steps(locale: str | None) -> list[Step]:
+    """From a text t to what it says as a number: v, the locale that this supposes (where) and whether that is in doubt."""
     if locale in ("de-DE", "fr-FR"):
         only = lambda p: F.lit(",")
     elif locale in ("en-US", "en-CA", "en-GB", "zh-CN"):
@@ -96,18 +114,28 @@ def number(text: Column, locale: str | None = None) -> Column:
     else:
         only = lambda p: F.when(p["comma"] == 4, ".").otherwise(",")
 
-    def read(p: Column) -> Column:
+    def read(p: Known) -> Known:
         mark = F.when((p["comma"] > 0) & (p["dot"] > 0), F.when(p["comma"] < p["dot"], ",").otherwise(".")).when(p["comma"] > 0, only(p)).otherwise(".")
         plain = F.when(mark == ",", F.replace(F.replace(p["s"], F.lit(".")), F.lit(","), F.lit("."))).otherwise(F.replace(p["s"], F.lit(",")))
         alone = (p["comma"] > 0) & (p["dot"] == 0)
         guessed = F.lit(locale) if locale else F.when(alone & (p["comma"] != 4), F.lit("de-DE"))
-        return let(plain, lambda t: told(F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast(DECIMAL)), guessed, alone & (p["comma"] == 4)))
+        return {"plain": plain, "where": guessed.cast("string"), "four": alone & (p["comma"] == 4)}
+
+    def value(p: Known) -> Known:
+        return {"v": F.when(p["plain"].rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), p["plain"].try_cast(DECIMAL))}
 
-    def told(value: Column, guessed: Column, doubt: Column) -> Column:
-        return let(value, lambda v: F.struct(v.alias("value"), guessed.cast("string").alias("locale"), (F.lit(False) if locale else doubt & v.isNotNull()).alias("ambiguous")))
+    return [
+        lambda p: {"s": F.regexp_replace(F.regexp_replace(p["t"], "[\u00a0 $¥￥€£]", ""), "%+$", "")},
+        lambda p: {"comma": F.locate(",", F.reverse(p["s"])), "dot": F.locate(".", F.reverse(p["s"]))},
+        read,
+        value,
+        lambda p: {"doubt": F.lit(False) if locale else p["four"] & p["v"].isNotNull()},
+    ]
 
-    compact = F.regexp_replace(F.regexp_replace(text, "[\u00a0 $¥￥€£]", ""), "%+$", "")
-    return let(compact, lambda s: let(F.struct(s.alias("s"), F.locate(",", F.reverse(s)).alias("comma"), F.locate(".", F.reverse(s)).alias("dot")), read))
+
+def number(text: Column, locale: str | None = None) -> Column:
+    """struct(value, locale, ambiguous) of a number written in some locale."""
+    return _bound({"t": text}, _number_steps(locale), lambda p: F.struct(p["v"].alias("value"), p["where"].alias("locale"), p["doubt"].alias("ambiguous")))
 
 
 def plain_decimal(value: Column) -> Column:
@@ -115,47 +143,56 @@ def plain_decimal(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value.cast(DECIMAL).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def infer(field: str, value: Column, locale: str | None = None) -> Column:
-    """struct(type, confidence, locale, unit, value, ambiguous, reason): the first rule that holds of a text.
+def _rule(locale: str | None, kind: str, confidence: float, where: object = None, unit: str | None = None, val: Column | None = None, ambiguous: object = False, reason: str | None = None) -> Column:
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), col(where).cast("string").alias("locale"), F.lit(unit).cast("string").alias("unit"),
+        col(val).cast("string").alias("value"), col(ambiguous).cast("boolean").alias("ambiguous"), F.lit(reason).cast("string").alias("reason"),
+    )
+
+
+def _ladder(field: str, locale: str | None) -> tuple[list[Step], Callable[[Known], Column]]:
+    """The steps that a field's values take, from a trimmed text t, and the first rule that holds of what they found.
 
     The field's name is known when the plan is made, so its tests cost nothing for a row.
     """
+    out = lambda kind, confidence, where=locale, *more, **named: _rule(locale, kind, confidence, where, *more, **named)
+    if re.search(C.IDENTIFIER_NAME, field.replace(".", "_")):
 
-    def out(kind: str, confidence: float, where: object = locale, unit: str | None = None, val: Column | None = None, ambiguous: object = False, reason: str | None = None) -> Column:
-        col = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(
-            F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), col(where).cast("string").alias("locale"), F.lit(unit).cast("string").alias("unit"),
-            col(val).cast("string").alias("value"), col(ambiguous).cast("boolean").alias("ambiguous"), F.lit(reason).cast("string").alias("reason"),
-        )
+        def identifier(p: Known) -> Column:
+            t = p["t"]
+            phone = t.rlike(r"^\+?[\d() .-]{7,}$") if "phone" in field.lower() or "电话" in field else F.lit(False)
+            rule = F.when(t.isNull() | (t == ""), out("empty", 1.0)).when(t.rlike(r"^0\d+$"), out("text_identifier", 0.99, val=t, reason="leading_zero_identifier"))
+            return rule.when(phone, out("text_identifier", 0.99, val=t, reason="phone_identifier")).otherwise(out("text_identifier", 0.99, val=t, reason="identifier_field"))
 
-    text = F.trim(value)
-    zeros = text.rlike(r"^0\d+$")
-    empty = F.when(value.isNull() | (text == ""), out("empty", 1.0))
-    if re.search(C.IDENTIFIER_NAME, field.replace(".", "_")):
-        phone = text.rlike(r"^\+?[\d() .-]{7,}$") if "phone" in field.lower() or "电话" in field else F.lit(False)
-        return (
-            empty.when(zeros, out("text_identifier", 0.99, val=text, reason="leading_zero_identifier"))
-            .when(phone, out("text_identifier", 0.99, val=text, reason="phone_identifier"))
-            .otherwise(out("text_identifier", 0.99, val=text, reason="identifier_field"))
-        )
+        return [], identifier
+    # The two shapes of dates.
     ymd = r"^(\d{4})\s*[年/-]\s*(\d{1,2})\s*[月/-]\s*(\d{1,2})\s*日?$"
     slash = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
     shown = lambda d: F.date_format(d, "yyyy-MM-dd")
     named = {k: bool(re.search(p, field)) for k, p in (("date", C.DATE_NAME), ("percent", C.PERCENT_NAME), ("money", C.CURRENCY_NAME))}
 
-    def slashed(t: Column) -> Column:
-        a, b, y = (_part(t, slash, k) for k in (1, 2, 3))
-        month_first = F.lit(locale in ("en-US", "en-CA")) | ((a.cast("int") <= 12) & (b.cast("int") > 12))
-        small = (a.cast("int") <= 12) & (b.cast("int") <= 12)
-        return F.when(t.rlike(slash), F.struct(small.alias("small"), shown(F.when(month_first, _date(y, a, b)).otherwise(_date(y, b, a))).alias("day")))
+    def dates(p: Known) -> Known:
+        t = p["t"]
+        return {"is_ymd": F.coalesce(t.rlike(ymd), F.lit(False)), "is_slash": F.coalesce(t.rlike(slash), F.lit(False))}
+
+    def parts(p: Known) -> Known:
+        number_ = lambda k: F.when(p["is_slash"], _part(p["t"], slash, k))
+        return {"whole": F.when(p["is_ymd"], shown(_date(*[_part(p["t"], ymd, k) for k in (1, 2, 3)]))), "a": number_(1), "b": number_(2), "y": number_(3)}
+
+    def days(p: Known) -> Known:
+        a, b = p["a"].cast("int"), p["b"].cast("int")
+        month_first = F.lit(locale in ("en-US", "en-CA")) | ((a <= 12) & (b > 12))
+        day = shown(_date(p["y"], F.when(month_first, p["a"]).otherwise(p["b"]), F.when(month_first, p["b"]).otherwise(p["a"])))
+        return {"small": (a <= 12) & (b <= 12), "day": F.when(p["is_slash"], day)}
 
-    def ladder(p: Column) -> Column:
-        t, v, where, doubt = p["t"], p["n"]["value"], p["n"]["locale"], p["n"]["ambiguous"]
+    def rules(p: Known) -> Column:
+        t, v, where, doubt = p["t"], p["v"], p["where"], p["doubt"]
         integral = v == F.floor(v)
-        rule = F.when(t.isNull() | (t == ""), out("empty", 1.0)).when(p["ymd"] & p["whole"].isNotNull(), out("date", 0.99, "zh-CN", val=p["whole"])).when(p["ymd"], out("date", 0.2, "zh-CN", ambiguous=True, reason="invalid_date"))
+        rule = F.when(t.isNull() | (t == ""), out("empty", 1.0)).when(p["whole"].isNotNull(), out("date", 0.99, "zh-CN", val=p["whole"])).when(p["is_ymd"], out("date", 0.2, "zh-CN", ambiguous=True, reason="invalid_date"))
         if locale not in ("en-US", "en-CA", "en-GB", "zh-CN"):
-            rule = rule.when(p["slash"]["small"], out("date", 0.4, None, ambiguous=True, reason="ambiguous_day_month"))
-        rule = rule.when(p["slash"]["day"].isNotNull(), out("date", 0.95 if locale else 0.9, val=p["slash"]["day"])).when(p["slash"].isNotNull(), out("date", 0.2, ambiguous=True, reason="invalid_date"))
+            rule = rule.when(p["is_slash"] & p["small"], out("date", 0.4, None, ambiguous=True, reason="ambiguous_day_month"))
+        rule = rule.when(p["day"].isNotNull(), out("date", 0.95 if locale else 0.9, val=p["day"])).when(p["is_slash"], out("date", 0.2, ambiguous=True, reason="invalid_date"))
         if named["date"]:
             day = shown(F.date_add(F.to_date(F.lit(_EPOCH)), F.when(v.between(1, 2958465), v).cast("int")))
             rule = rule.when(v.between(1, 2958465) & integral, out("excel_serial_date", 0.94, val=day))
@@ -168,11 +205,13 @@ def infer(field: str, value: Column, locale: str | None = None) -> Column:
         rule = rule.when(v.isNotNull(), out("decimal", 0.88, where, None, plain_decimal(v), doubt, "text_number"))
         return rule.otherwise(out("text", 0.9, val=t))
 
-    def prepared(t: Column) -> Column:
-        whole = F.when(t.rlike(ymd), shown(_date(*[_part(t, ymd, k) for k in (1, 2, 3)])))
-        return F.struct(t.alias("t"), F.coalesce(t.rlike(ymd), F.lit(False)).alias("ymd"), whole.alias("whole"), slashed(t).alias("slash"), number(t, locale).alias("n"))
+    return [dates, parts, days, *_number_steps(locale)], rules
 
-    return let(text, lambda t: let(prepared(t), ladder))
+
+def infer(field: str, value: Column, locale: str | None = None) -> Column:
+    """struct(type, confidence, locale, unit, value, ambiguous, reason): the first rule that holds of a text."""
+    steps, rules = _ladder(field, locale)
+    return let(F.trim(value), lambda t: _bound({"t": t}, steps, rules))
 
 
 def review_reasons(least: float = C.LEAST_CONFIDENCE) -> Column:

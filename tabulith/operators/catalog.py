@@ -20,7 +20,7 @@ TEMPLATE_EXTENSION = r"(?i)\.(xltx|xltm)$"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, mtime, size, digest) of every file below a folder, hashed where it is read."""
+    """(path, name, mtime, size, digest) of every file below a folder, hashed where it is read. Spark lists no empty files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"))
 

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.operators import ambiguity, manifest, route, state, verify, write
+from tabulith.operators import ambiguity, formula_delivery, manifest, route, state, verify, write
+from tabulith.operators.formulas import FormulaError
 from tabulith.plans import targets as T
 from tabulith.sinks import files
 from tabulith.sinks import workbook as W
@@ -112,6 +113,7 @@ def staged_book(spark: SparkSession, t: T.Target, own: DataFrame, currency: str
 def deliver(
     spark: SparkSession, payload: Mapping[str, Any], base: str = "", *, dry_run: bool = False, state_path: str | None = None, decisions: Mapping[str, state.Decision] | None = None, period: tuple[str, str] | None = None,
     verifiers: tuple[verify.Verifier, ...] = (), post_stage: Hook | None = None, artifact: Hook | None = None, revision: state.RevisionSource | None = None,
+    recalculate: formula_delivery.Recalculator | None = None,
 ) -> Run:
     """Deliver what a configuration names, once: read, route, ask, plan, write beside, read back, put in place.
 
@@ -179,7 +181,7 @@ def deliver(
         guard.start()
     done, found = [], []
     for t in chosen:
-        failure = _target(spark, t, changed, mapping, template, plan[t.key], staging, outputs[t.key], outcomes, verifiers, post_stage, run)
+        failure = _target(spark, t, changed, mapping, template, plan[t.key], staging, outputs[t.key], outcomes, verifiers, post_stage, recalculate, run)
         if failure:
             found.append(failure)
         elif run.targets[t.key] == "delivered":
@@ -194,7 +196,8 @@ def deliver(
         if (t.key,) in done:
             there = manifest.persisted_rows(cells_of(spark, {t.key: outputs[t.key]}), ids)
             wrote = run.outcomes.where((F.col("status") == "written") & (F.col("destination") == t.key)).select("destination", F.lit(t.sheet).alias("sheet"), "input")
-            body = manifest.document(spark, t, outputs[t.key], run.outcomes, route.tab_counts(wrote, there), run.manifests[t.key], digests, period, version, guard.fingerprint if guard else None)
+            body = manifest.document(spark, t, outputs[t.key], run.outcomes, route.tab_counts(wrote, there), {k: v for k, v in run.manifests[t.key].items() if k != "formulas"}, digests, period, version, guard.fingerprint if guard else None)
+            body["formulas"] = run.manifests[t.key]["formulas"]
             manifest.save(spark, body)
             run.manifests = {**run.manifests, t.key: body}
             if artifact:
@@ -233,11 +236,15 @@ def components(spark: SparkSession, chosen: list[T.Target], options: T.Options,
     }
 
 
-def _target(spark, t, changed, mapping, template, plan, staging, output, outcomes, verifiers, post_stage, run) -> Failure | None:
+def _target(spark, t, changed, mapping, template, plan, staging, output, outcomes, verifiers, post_stage, recalculate, run) -> Failure | None:
     """Write, check and deliver one target; what went wrong, if anything did."""
     own = changed.where(F.col("destination") == t.key)
     accepted = outcomes.where((F.col("status") == "accepted") & (F.col("destination") == t.key)).count()
     if not accepted:
+        last = (manifest.recovered(spark, output) or {}).get("formulas") or {}
+        if t.formulas and (last.get("contract"), last.get("status")) != (formula_delivery.contract(t.formulas), "verified"):
+            run.targets = {**run.targets, t.key: "formula_delivery_failed"}
+            return Failure("formula_delivery_requires_records", "the formulas changed, but there is nothing new to deliver", t.key)
         run.targets = {**run.targets, t.key: "no_new_records"}
         return None
     skipped = sorted(r.skip for r in own.where("skip is not null").select("skip").distinct().collect())
@@ -251,6 +258,13 @@ def _target(spark, t, changed, mapping, template, plan, staging, output, outcome
         run.targets = {**run.targets, t.key: "write_failed"}
         return Failure("template_write_failed", f"missing sheet: {t.sheet}", t.key)
     files.replace(spark, staged, staged_book(spark, t, own, currency_of(outcomes, t) if "amount" in t.kinds.values() else None))
+    evidence: Mapping[str, Any] = {}
+    if t.formulas:
+        try:
+            evidence = formula_delivery.applied(spark, staged, t.formulas, recalculate)
+        except FormulaError as e:
+            run.targets = {**run.targets, t.key: "formula_delivery_failed"}
+            return Failure("formula_delivery_failed", str(e), t.key)
     if post_stage:
         post_stage(staged)
     contract = verify.Contract(t, accepted + plan["expected_review"], accepted, plan["expected_review"], accepted, None, verifiers)
@@ -271,7 +285,7 @@ def _target(spark, t, changed, mapping, template, plan, staging, output, outcome
             run.targets = {**run.targets, t.key: "verification_failed"}
             return Failure("verification_failed", ", ".join(codes["codes"]), t.key)
     files.move(spark, f"{output}.checked", output)
-    run.targets, run.manifests = {**run.targets, t.key: "delivered"}, {**run.manifests, t.key: codes}
+    run.targets, run.manifests = {**run.targets, t.key: "delivered"}, {**run.manifests, t.key: codes | {"formulas": dict(evidence)}}
     return None
 
 

@@ -34,7 +34,7 @@ def report_tables(records: DataFrame, least: float = C.LEAST_CONFIDENCE) -> dict
     """The four sheets as tables: accepted and review records, their counts, and what is inferred of five fields."""
     told = route.reviewed(records, least).withColumn("reasons", F.array_join("reasons", ", "))
     columns = ["location", "event_date", "identifier", "category", "confidence", "source", "reasons"]
-    audit = told.agg(F.count("*").alias("total"), F.count_if("reasons = ''").alias("accepted"), F.count_if("reasons <> ''").alias("review"))
+    audit = told.agg(F.count("*").alias("total"), F.count_if(F.col("reasons") == "").alias("accepted"), F.count_if(F.col("reasons") != "").alias("review"))
     fields = profile.field_report(profile.inferred(records, ["location", "event_date", "identifier", "category", "amount"], "row_index"))
     return {"Accepted": told.where("reasons = ''").select("row_index", *columns), "Review": told.where("reasons <> ''").select("row_index", *columns), "Audit": audit, "Type Inference": fields}
 

@@ -14,6 +14,11 @@ def sealed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_digest", F.sha2(F.to_json(F.struct(*SEALED), {"ignoreNullFields": "false"}), 256))
 
 
+def candidate_list(text: F.Column) -> F.Column:
+    """The candidates of a row as they are written: a JSON list of texts; null where it is none."""
+    return F.from_json(text, "array<string>", {"mode": "PERMISSIVE"})
+
+
 def pack(outcomes: DataFrame) -> DataFrame:
     """A sealed row for each outcome in review, without a decision yet."""
     open_ = outcomes.where("status = 'review'")

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tabulith.operators import deliver, manifest, report, state, verify, write
+from tabulith.operators import deliver, formula_delivery, manifest, report, state, verify, write
 from tabulith.plans import targets as T
 from tabulith.sinks import files
 from tabulith.sinks import workbook as W
@@ -162,6 +162,49 @@ def test_columns_and_values(spark):
     assert all(r.got == r.w for r in df.select("w", verify.same_value(F.col("l"), F.col("r")).alias("got")).collect())
 
 
+def test_formulas_of_a_delivery(spark, config, tmp_path):
+    rule = {"sheet": "Data", "range": "H2:H3", "formula": "=B2&D2", "expected": {"H2": "North SiteA-1"}}
+    config["targets"][0]["formulas"] = [rule]
+
+    def engine(shown):
+        def calculate(path):
+            raw = files.read(spark, path)
+            beside = str(tmp_path / "calculated.xlsx")
+            values = {"H2": shown, "H3": "North SiteC-1"}
+            text = W.patched(raw, {})
+            for cell, value in values.items():
+                text = _with_value(text, cell, value)
+            files.write(spark, beside, text)
+            return beside
+
+        return calculate
+
+    run = deliver.deliver(spark, config, str(tmp_path), recalculate=engine("else"))
+    assert run.targets["North Site"] == "formula_delivery_failed" and run.failures[0].message == "recalculation_mismatch"
+    run = deliver.deliver(spark, config, str(tmp_path), recalculate=engine("North SiteA-1"), verifiers=(formula_delivery.verifier([]),))
+    assert run.targets["North Site"] == "delivered" and run.manifests["North Site"]["formulas"]["status"] == "verified"
+    assert run.manifests["North Site"]["verification"]["codes"] == ["recalculation_not_verified"]
+    cells = {r.cell: r.formula for r in workbook.cells(spark, str(tmp_path / "out/North Site.xlsx")).where("formula is not null").collect()}
+    assert cells == {"H2": "=B2&D2", "H3": "=B3&D3"}
+    assert deliver.deliver(spark, config, str(tmp_path)).targets["North Site"] == "no_new_records"
+    rule["formula"] = "=B2"
+    assert deliver.deliver(spark, config, str(tmp_path)).failures[0].code == "formula_delivery_requires_records"
+
+
+def _with_value(content, cell, value):
+    """A copy in which a formula's cell has a stored text."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w") as new:
+        for info in old.infolist():
+            raw = old.read(info.filename).decode()
+            raw = __import__("re").sub(rf'<c r="{cell}"(?: t="str")?><f>([^<]*)</f>(?:<v>[^<]*</v>)?</c>', rf'<c r="{cell}" t="str"><f>\1</f><v>{value}</v></c>', raw)
+            new.writestr(info.filename, raw)
+    return out.getvalue()
+
+
 def test_run_state(spark, tmp_path):
     path = str(tmp_path / "s/runs.json")
     g = state.Guard(spark, path, "t", {"inputs": ["b", "a"], "period": None}, lambda: "rev1")
