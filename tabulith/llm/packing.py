@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tabulith.llm import _spark, tokens
 
 CAPACITY, END_ID = 1024, 2
-#: Documents of one length to a salt, over which they are ranked; sums over salts up to which these are broadcast.
-SALT_ROWS, BROADCAST_SALTS = 50_000, 500_000
+#: Sums over tasks and lengths up to which they are broadcast; beyond, they are joined.
+BROADCAST_SUMS = 500_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -97,22 +97,31 @@ def cut(total: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(docs: DataFrame, tokenizer: str = tokens.DEFAULT_TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the whole texts' ids and the end id, cut to the capacity."""
+    return _numbered(docs, tokenizer, capacity, end_id, keep_ids).drop("part", "own")
+
+
+def _numbered(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
+    """pieces() with part, the task that made them, and own, how many of the same length it made before."""
     where = tokens.tokenizer_path(tokenizer)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "part int, own long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
+        from pyspark import TaskContext
+
         enc, end = tokens.encoder(where), np.array([end_id], "<u4").tobytes()
+        part_id, made = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for part, texts in tokens.text_groups(batches, "text"):
             rows: list[tuple] = []
             for doc, ids in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
                 ids += end
                 for k, (a, n) in enumerate(zip(*(x.tolist() for x in cut(len(ids) // 4, capacity)), strict=True)):
                     own = ids[4 * a : 4 * (a + n)]
-                    rows.append((doc, k, a, n, zlib.crc32(own), *([own] * keep_ids)))
+                    rows.append((part_id, made[n], doc, k, a, n, zlib.crc32(own), *([own] * keep_ids)))
+                    made[n] += 1
             if rows:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=[f.split()[0] for f in schema.split(", ")])
 
     return _spark.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, schema)
@@ -122,25 +131,19 @@ def packed(docs: DataFrame, tokenizer: str = tokens.DEFAULT_TOKENIZER, capacity:
     """pieces() of docs (doc_id, text) with sequence_id and offset: sequences have no gaps and no more than capacity tokens.
 
     A null text is empty and has the end id alone; an empty table has no rows. Equal and null doc_ids
-    are rows like others. Only counts of lengths (capacity numbers) reach the driver. Ranks within a
-    length are counted over salts of the id, as many as the rows of that length ask for, so that a length
-    of a third of all rows is not one task's.
+    are rows like others. Only counts of lengths (capacity numbers) reach the driver. A piece's rank among
+    those of its length is what its task counted before it and what the tasks before made: the sums of
+    a row for each task and length, so that no piece is dealt by its length, however many share it.
     """
     spark = docs.sparkSession
-    own = pieces(docs, tokenizer, capacity, end_id, keep_ids)
-    items = _spark.stored(own.withColumn("mark", F.monotonically_increasing_id()), "pieces")  # the mark is fixed once it is written
-    counts = {r[0]: r[1] for r in items.groupBy("length").count().collect()}
-    salts = spark.createDataFrame([(length, 1 + n // SALT_ROWS) for length, n in counts.items()], "length long, salts long")
-    items = items.join(F.broadcast(salts), "length")  # a row for each length
-    items = items.withColumn("salt", F.pmod(F.xxhash64("mark"), "salts")).drop("salts")
-    sizes = items.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("mark")))
-    few = sum(1 + n // SALT_ROWS for n in counts.values()) <= BROADCAST_SALTS
-    placed = ranked.join(F.broadcast(before) if few else before, ["length", "salt"])  # beyond it both sides lie by salt already
+    items = _spark.stored(_numbered(docs, tokenizer, capacity, end_id, keep_ids), "pieces")
+    sizes = _spark.stored(items.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes")
+    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}
+    before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    placed = items.join(F.broadcast(before) if sizes.count() <= BROADCAST_SUMS else before, ["length", "part"])
     slots = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
-    names = own.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    kept = [f for f in items.schema.fields if f.name not in ("part", "own")]
+    names, schema = [f.name for f in kept], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (slots[:, 0] << 44) + slots[:, 1]
@@ -152,5 +155,5 @@ def packed(docs: DataFrame, tokenizer: str = tokens.DEFAULT_TOKENIZER, capacity:
                 columns = [batch.column(c) for c in names]
                 yield pa.record_batch([*columns, pa.array(sequence + k % n), pa.array(offset + length * (k // n))], names=[*names, "sequence_id", "offset"])
 
-    placed = placed.select(*names, (F.col("before") + F.col("rank") - 1).alias("at"))
+    placed = placed.select(*names, (F.col("before") + F.col("own")).alias("at"))
     return _spark.arrow_map(placed, place, schema + ", sequence_id long, offset long")

@@ -266,11 +266,10 @@ def test_rows_without_ids(spark, tokenizer):
 
 
 def test_packing_of_one_length(spark, monkeypatch):
-    """All rows are equal: ranks over many salts, with and without broadcast sums, leave no gap."""
-    monkeypatch.setattr(packing, "SALT_ROWS", 7)
-    for few in (packing.BROADCAST_SALTS, 0):
-        monkeypatch.setattr(packing, "BROADCAST_SALTS", few)
-        got = packing.packed(documents(spark, [(1, "one")] * 200 + [(2, "a b c d")] * 90), capacity=10).collect()
+    """Two kinds of rows: ranks over many tasks, with and without broadcast sums, leave no gap."""
+    for few in (packing.BROADCAST_SUMS, 0):
+        monkeypatch.setattr(packing, "BROADCAST_SUMS", few)
+        got = packing.packed(documents(spark, [(1, "one")] * 200 + [(2, "a b c d")] * 90).repartition(7), capacity=10).collect()
         bins = defaultdict(list)
         for r in got:
             bins[r.sequence_id].append((r.offset, r.length))
