@@ -88,7 +88,7 @@ class Model:
     def tables(self) -> _Tables:
         if self._tables is None:
             every = np.unique(np.concatenate([g[0] for g in self.grams])).astype(np.uint32)
-            seen = np.unique([START, *every.view(np.uint8).tolist()])
+            seen = np.unique(np.append(every.view(np.uint8), np.uint8(START)))
             of_byte = np.zeros(256, np.uint8)
             of_byte[seen] = np.arange(1, len(seen) + 1)
             n = len(seen) + 1
@@ -126,6 +126,10 @@ class Model:
             self._tables = _Tables(of_byte, n, row.astype(np.int32), node, gram, cost, escape)
         return self._tables
 
+    def forget(self) -> None:
+        """Give up the tables: a worker keeps what it was sent, and other stages follow."""
+        self._tables = None
+
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each text's code length in bits under each language."""
         t = self.tables()
@@ -216,8 +220,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best, score = np.full(part.num_rows, len(names) - 1), np.zeros(part.num_rows)
                 if model.languages:
                     bits, n = model.lengths(data, at), np.diff(at)
-                    ascii_ = ((data | 0x20) >= ord("a")) & ((data | 0x20) <= ord("z"))
-                    letters = np.diff(np.concatenate(([0], np.cumsum(ascii_)))[at]) > 0
+                    ascii_, letters, full = ((data | 0x20) >= ord("a")) & ((data | 0x20) <= ord("z")), np.zeros(part.num_rows, bool), np.flatnonzero(np.diff(at))
+                    if len(full):
+                        letters[full] = np.logical_or.reduceat(ascii_, at[full])
                     for k in np.flatnonzero(~letters & (np.diff(at) > 0)):
                         letters[k] = _lettered(data[at[k] : at[k + 1]].tobytes())
                     mean = bits / np.maximum(n, 1)[:, None] * 16
@@ -226,6 +231,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     score = np.where(letters, odds.max(1) / odds.sum(1), 0.0)
                 columns = [*part.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score)]
                 yield pa.record_batch(columns, names=[*part.schema.names, "lang_pred", "score"])
+        model.forget()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return _spark.arrow_map(docs, guess, schema)
