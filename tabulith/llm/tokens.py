@@ -34,7 +34,7 @@ BLOCK_IDS = 1 << 16
 #: Bytes up to which the shards' sizes, a row for each file, are broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Parts that a worker keeps; twice as many at most.
-KEPT_CHUNKS = 450_000
+KEPT_CHUNKS = 800_000
 
 #: White space, and the mark of what is irregular.
 _ODD = re.compile(r"[\s\0]")
