@@ -163,30 +163,34 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return edges.select("book", "cell", "needs").groupBy("book").applyInArrow(solve, f"book {kind}, cell string")
 
 
-def region_findings(cells: DataFrame, anchor: str, region: DataFrame) -> DataFrame:
+def region_findings(cells: DataFrame, anchor: str, region: DataFrame, last_row: int | None = MOST_ROWS) -> DataFrame:
     """(sheet, cell, code, expected) of a region's cells that are not the anchor's formula as it reads there.
 
     region: (sheet, row, col, cell); cells: (sheet, row, col, cell, value, formula). An anchor without a formula is one finding.
+    last_row: of the sheet; None for a table of cells that no workbook bounds.
     """
     at_row, at_col = F.regexp_extract(F.lit(anchor), r"(\d+)$", 1).cast("int"), column_number(F.regexp_extract(F.lit(anchor), r"^([A-Z]+)", 1))
     first = region.select("sheet").distinct().join(cells.where(F.col("cell") == anchor).select("sheet", F.col("formula").alias("model")), "sheet", "left")
     none = first.where("model is null").select("sheet", F.lit(anchor).alias("cell"), F.lit("missing_formula_anchor").alias("code"), F.lit(None).cast("string").alias("expected"))
     both = region.join(first.where("model is not null"), "sheet").join(cells.select("sheet", "row", "col", "value", "formula"), ["sheet", "row", "col"], "left")
-    both = both.withColumn("expected", translated(F.col("model"), F.col("row") - at_row, F.col("col") - at_col))
+    both = both.withColumn("expected", translated(F.col("model"), F.col("row") - at_row, F.col("col") - at_col, last_row))
     blank = F.coalesce(F.col("value"), F.lit("")) == ""
     code = F.when(F.col("formula").isNull(), F.when(blank, "formula_fill_gap").otherwise("formula_overwritten_by_constant")).when(F.col("formula") != F.col("expected"), "formula_pattern_mismatch")
     return none.unionByName(both.withColumn("code", code).where("code is not null").select("sheet", "cell", "code", "expected"))
 
 
-def translated(formula: Column, rows: Column, cols: Column) -> Column:
-    """A formula as it reads some rows and columns away: what a $ holds stays; texts stay; what falls off the sheet is #REF!."""
+def translated(formula: Column, rows: Column, cols: Column, last_row: int | None = MOST_ROWS) -> Column:
+    """A formula as it reads some rows and columns away: what a $ holds stays; texts stay; what falls off the sheet is #REF!.
+
+    last_row: of the sheet; None where its rows have no end.
+    """
     token = r"(\"[^\"]*\"|'(?:[^']|'')*'|[A-Za-z_\\.][A-Za-z0-9_\\.]*\(|(?<![A-Za-z0-9_.])\$?[A-Z]{1,3}\$?[0-9]+(?![A-Za-z0-9_(!])|[A-Za-z_][A-Za-z0-9_.]*|[^A-Za-z_\"'$]+|.)"
     cell = r"^(\$?)([A-Z]{1,3})(\$?)([0-9]+)$"
 
     def moved(p: Column) -> Column:
         part = lambda k: F.regexp_extract(p, cell, k)
-        row, col = part(4).try_cast("int") + F.when(part(3) == "$", 0).otherwise(rows), column_number(part(2)) + F.when(part(1) == "$", 0).otherwise(cols)
-        inside = (row >= 1) & (row <= MOST_ROWS) & (col >= 1) & (col <= MOST_COLUMNS)
+        row, col = part(4).try_cast("long") + F.when(part(3) == "$", 0).otherwise(rows), column_number(part(2)) + F.when(part(1) == "$", 0).otherwise(cols)
+        inside = (row >= 1) & (F.lit(True) if last_row is None else row <= last_row) & (col >= 1) & (col <= MOST_COLUMNS)
         there = F.concat(part(1), letters(col.cast("int")), part(3), row.cast("string"))
         return F.when(p.rlike(cell), F.when(inside, there).otherwise("#REF!")).otherwise(p)
 

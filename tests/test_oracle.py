@@ -52,3 +52,26 @@ def test_fuzzy_candidates_by_plain_python(spark, sf_dir):
     for r in rows:
         a, b = ("".join(c for c in x.lower() if c.isalnum()) for x in (r.location, r.alias))
         assert round(SequenceMatcher(None, a, b).ratio(), 6) == r.ratio >= 0.78
+
+
+@pytest.fixture
+def beyond(spark, tmp_path):
+    """A maker of a table whose keys are given, as a folder and a DuckDB connection."""
+
+    def make(table, frame):
+        frame.write.parquet(f"{tmp_path}/{table}.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        return str(tmp_path), con
+
+    return make
+
+
+def keys_past_a_sheet(spark):
+    """Keys at the start, around a sheet's last row, and past 32 bits."""
+    starts = spark.createDataFrame([(0,), (1_048_560,), (9_000_000,), (2_147_483_640,), (5_000_000_000,)], "start long")
+    return spark.range(40).crossJoin(starts).selectExpr("id + start AS o_orderkey", "id AS o_custkey")
+
+
+def test_formula_regions_past_a_sheets_last_row(spark, beyond):
+    compare(spark, *beyond("orders", keys_past_a_sheet(spark)), QUERIES["formula_regions"], SQL["formula_regions"])
