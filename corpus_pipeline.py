@@ -40,7 +40,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (similarity of five-word shingles 0.8 and more) the document with the smallest doc_id stays.
 
-    Rows without an id stay. See resemblance.kept.
+    SimHash links candidates, MinHash adds similar ones that it has too far apart, and all are compared
+    exactly. Rows without an id stay. See resemblance.kept.
     """
     return resemblance.kept(docs, SHINGLE)
 

@@ -1,8 +1,10 @@
-"""Documents whose shingle sets have a Jaccard similarity of at least LEAST, by banded MinHash and an exact check.
+"""Documents whose shingle sets have a Jaccard similarity of at least LEAST: SimHash, banded MinHash and an exact check.
 
-Every document has BANDS hashes, each of ROWS minima of its shingles' hashes; documents that share
-one are candidates: a pair of similarity s goes unmet with the odds (1 - s**ROWS)**BANDS, 1.5e-5 at
-0.8 and 2e-9 at 0.87. Candidates are first joined to loose groups, without their texts. The texts of
+Documents whose SimHash fingerprints (simhash's, of the same shingles) are linked there are
+candidates. Those that are similar and further apart are met by MinHash: every document has BANDS
+hashes, each of ROWS minima of its shingles' hashes, and those that share one are candidates too; a
+pair of similarity s goes unmet with the odds (1 - s**ROWS)**BANDS, 1.5e-5 at 0.8 and 2e-9 at 0.87,
+unless SimHash links it. Candidates are first joined to loose groups, without their texts. The texts of
 a loose group then meet once, in one place, and any two of them that are looked at are compared
 exactly; from one document the group is grown over links, so that a group of near copies costs no
 pairs. Documents with one set of shingles are compared once.
@@ -31,9 +33,14 @@ _XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _ODD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def hashed(text: bytes, n: int) -> np.ndarray:
+    """The hashes of a text's shingles as they stand, repeats included."""
+    return np.array(simhash._hashes(text, n), np.uint64)
+
+
 def shingles(text: bytes, n: int) -> np.ndarray:
     """The distinct hashes of a text's shingles in their order."""
-    return np.unique(np.array(simhash._hashes(text, n), np.uint64))
+    return np.unique(hashed(text, n))
 
 
 def key_of(own: np.ndarray) -> int:
@@ -59,22 +66,36 @@ def bands(own: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, mark, set_key, bands) for rows (doc_id, mark, text)."""
+    """(doc_id, mark, set_key, fp, bands) for rows (doc_id, mark, text). fp: the SimHash fingerprint."""
 
     def compute(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part, data, at in slices(batch):
                 raw = data.tobytes()
-                own = [shingles(raw[a:b], n) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                every = [hashed(raw[a:b], n) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                fp = simhash.majority(np.concatenate(every), np.array([len(x) for x in every], np.int64)).view(np.int64)
+                own = [np.unique(x) for x in every]
                 keys = np.array([key_of(x) for x in own], np.uint64).view(np.int64)
                 full = [k for k, x in enumerate(own) if len(x)]
                 got: list[bytes | None] = [None] * len(own)
                 if full:
                     for k, row in zip(full, bands([own[k] for k in full]), strict=True):
                         got[k] = row.tobytes()
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(keys), pa.array(got, pa.binary())], names=["doc_id", "mark", "set_key", "bands"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(keys), pa.array(fp), pa.array(got, pa.binary())], names=["doc_id", "mark", "set_key", "fp", "bands"])
+
+    return _spark.arrow_map(docs.select(F.col("doc_id").cast("long"), "mark", "text"), compute, "doc_id long, mark long, set_key long, fp long, bands binary")
 
-    return _spark.arrow_map(docs.select(F.col("doc_id").cast("long"), "mark", "text"), compute, "doc_id long, mark long, set_key long, bands binary")
+
+def linked(prints: DataFrame) -> DataFrame:
+    """(u, v): links between set_keys whose components are those of all pairs that SimHash links.
+
+    The sets of one fingerprint are linked to the smallest of them, which stands for it. Texts without words are one set.
+    """
+    own = _spark.stored(prints.where("bands is not null").select("fp", "set_key").distinct(), "own")
+    homes = _spark.stored(own.groupBy("fp").agg(F.min("set_key").alias("home"), F.count("*").alias("n")), "homes")
+    same = own.join(homes.where("n > 1"), "fp").where("set_key <> home").select(F.col("home").alias("u"), F.col("set_key").alias("v"))
+    far = simhash.links(homes.select("fp")).select(F.col("u").alias("fp"), "v").join(homes, "fp").select(F.col("home").alias("u"), F.col("v").alias("fp"))
+    return same.unionByName(far.join(homes, "fp").select("u", F.col("home").alias("v")))
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -180,7 +201,7 @@ def kept(docs: DataFrame, n: int) -> DataFrame:
     marked = known.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), "text")
     prints = _spark.stored(sketches(marked, n), "sketches")
     sets = _spark.stored(prints.groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("bands").alias("bands")), "sets")
-    loose = components.components(candidates(sets)).select(F.col("node").alias("set_key"), F.col("root").alias("loose"))
+    loose = components.components(linked(prints).unionByName(candidates(sets))).select(F.col("node").alias("set_key"), F.col("root").alias("loose"))
     met = sets.select("set_key", "least.*").join(loose, "set_key")
     found = _spark.stored(groups(marked.join(met, ["doc_id", "mark"]), n), "groups")
     joined = sets.select("set_key", "least").join(found, "set_key", "left")

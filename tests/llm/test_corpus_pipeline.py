@@ -74,6 +74,16 @@ def test_near_dedup(spark, sf_dir):
     assert corpus_pipeline.near_dedup(spark, docs_of(spark, rows).limit(0), sf_dir).count() == 0
 
 
+def test_simhash_links_candidates_of_near_dedup(spark, sf_dir, monkeypatch):
+    """Without any band, near copies within four bits still meet; what is further apart and texts without words are not linked by it."""
+    monkeypatch.setattr(resemblance, "candidates", lambda sets: sets.sparkSession.createDataFrame([], "u long, v long"))
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(3000)]
+    texts = [base, [*base[:-1], "other"], base + base[:4], [f"v{rng.randrange(3000)}" for _ in range(300)], [], ["other"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts, 1)]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(spark, rows), sf_dir).collect()) == [1, 4, 5, 6]
+
+
 @pytest.mark.parametrize("shared", [88, 89])
 def test_similarity_is_exact(shared):
     a = np.arange(100, dtype=np.uint64)
