@@ -16,10 +16,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,20 +166,16 @@ class Encoder:
     def _joined(self, split: list[list[str]]) -> tuple[list[bytes], list[int]]:
         """The ids of texts in parts, and the numbers of those that hold a part which is none."""
         new = self.parts[0]
-        flat = list(chain.from_iterable(split))
-        ids = list(map(new.get, flat))
-        open_ = [k for k, x in enumerate(ids) if x is None]
+        every = [list(map(new.get, parts)) for parts in split]
+        open_ = {k: [i for i, x in enumerate(ids) if x is None] for k, ids in enumerate(every) if not all(ids)}
         learned = self._learned_by_letters if self.by_letters else self._learned
-        odd = learned(dict.fromkeys([flat[k] for k in open_])) if open_ else ()
-        ends = list(accumulate(map(len, split)))
-        again = sorted({bisect_right(ends, k) for k in open_ if flat[k] in odd}) if odd else []
-        for k in open_:
-            ids[k] = new.get(flat[k], b"")
-        at, skip, out = 0, len(self.feed), []
-        for end in ends:
-            out.append(b"".join(ids[at:end])[skip:])
-            at = end
-        return out, again
+        fresh = dict.fromkeys(split[k][i] for k, at in open_.items() for i in at)
+        odd = learned(fresh) if fresh else set()
+        for k, at in open_.items():
+            for i in at:
+                every[k][i] = new.get(split[k][i], b"")
+        skip = len(self.feed)
+        return [b"".join(ids)[skip:] for ids in every], [k for k, at in open_.items() if odd and any(split[k][i] in odd for i in at)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.parts, self.kept = self._aged(self.parts), self._aged(self.kept)
