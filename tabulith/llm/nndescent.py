@@ -1,6 +1,10 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search on it.
 
-The graph has for each vector its K best partners found. It starts from exact partners within the
+`nearest` indexes all rows in regions that fit a task, each with a graph of its own (`regions`, `descent`).
+`build` and `search` make and walk one graph over all tasks, for callers that need the graph itself: each of
+their rounds moves every vector to its neighbours.
+
+The graph of `build` has for each vector its K best partners found. It starts from exact partners within the
 leaves of random-hyperplane trees, and is improved by joins of neighbours of neighbours: each vector
 goes to its neighbours and to those that it is a neighbour of; there all that met, of which one is
 new, are compared, and the better ones go back to their vectors. What has not changed is not
@@ -26,8 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulith.llm import _blobs, _rows, _spark
+from tabulith.llm import _blobs, _rows, _spark, regions
 from tabulith.llm._words import mixed
+from tabulith.llm.descent import lifted as _lifted
 from tabulith.llm.voronoi import finite, matrix
 
 K = 32
@@ -58,12 +63,6 @@ def _load(blob: pa.Scalar | bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_buffer() if isinstance(blob, pa.Scalar) else blob))
 
 
-def _lifted(v: np.ndarray, most: float) -> np.ndarray:
-    """Unit vectors with one more component, whose cosines are in the order of the inner products of vectors up to the norm most."""
-    v = v / most
-    return np.column_stack((v, np.sqrt(np.maximum(1 - (v**2).sum(1), 0))))
-
-
 def _codes(x: np.ndarray) -> np.ndarray:
     """Directions as 8-bit numbers on a common scale."""
     return np.clip(np.rint(x * 127), -127, 127).astype(np.int8)
@@ -119,9 +118,10 @@ def _out(gather: _blobs.Gather, out: list) -> pa.Table:
 
 
 def clean(vectors: DataFrame) -> DataFrame:
-    """The vectors that take part, as doubles."""
+    """(vec_id, v): the vectors that take part, as they are if they are of floats, else as doubles."""
     rows = vectors.where(finite("embedding") & F.col("vec_id").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = F.col("embedding") if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else F.transform("embedding", lambda x: x.cast("double"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return rows.where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -557,19 +557,27 @@ def search(state: DataFrame, dim: int, n_buckets: int, asked: DataFrame, k: int,
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each query, in doubles.
 
-    vectors: vec_id, embedding; is_query: a condition on vec_id. All rows are indexed; candidates are
-    all but those of the query's own id. Vectors that are null, empty, zero, or hold null or
-    non-finite components, or have no id take no part; vectors of each length have a graph of their
-    own. vec_id is taken as a key: of rows with one id the smallest vector is indexed. An empty table gives an empty
-    result. Equal vectors are ties, which go to the smaller vec_id among those found.
+    vectors: vec_id, embedding; is_query: a condition on vec_id. All rows are indexed, in graphs of regions
+    (`regions`); candidates are all but those of the query's own id. Vectors that are null, empty, zero, or hold
+    null or non-finite components, or have no id take no part; vectors of each length have an index of their
+    own. vec_id is taken as a key: of rows with one id the smallest vector is indexed. An empty table gives an
+    empty result. Equal vectors are one entry of the index: none of their ties is lost, and these go to the smaller vec_id.
     """
-    rows = _spark.stored(clean(vectors), "vectors").withColumn("dim", F.size("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = _spark.stored(clean(vectors), "vectors").withColumn("h", F.xxhash64("v"))
+    by_vector = Window.partitionBy("h", "v").orderBy("vec_id")  # a query's own id and k more: none behind can be asked for
+    few = rows.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
+    index = _spark.stored(few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "index").withColumn("dim", F.size("v"))
+    asked = rows.where(is_query)
+    asks = _spark.stored(asked.groupBy("h", "v").agg(F.min("vec_id").alias("rep")), "asks")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     out = None
-    for dim, n, most in sorted(map(tuple, rows.groupBy("dim").agg(F.count("*"), F.max(norm)).collect())):
-        own = rows.where(F.col("dim") == dim).select("vec_id", "v")
-        state, n_buckets = build(own, dim, n, most)
-        asked = own.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.array("vec_id").alias("entry"))
-        found = search(state, dim, n_buckets, asked, k)
+    for dim, n, least, most in sorted(map(tuple, index.groupBy("dim").agg(F.count("*"), F.min(norm), F.max(norm)).collect())):
+        space = regions.Space(dim, most, least >= most * (1 - 1e-6), k)
+        found = regions.found(index.where(F.col("dim") == dim), asks.where(F.size("v") == dim), space, n)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    own = asked.join(asks, ["h", "v"]).select(F.col("vec_id").alias("query_id"), "rep").join(out, "rep")
+    others = F.slice(F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id")), 1, k)
+    own = own.select("query_id", F.posexplode(others).alias("rank", "x"))
+    return own.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulith.llm import components, nndescent, voronoi
+from tabulith.llm import components, descent, nndescent, regions, voronoi
 
 SCHEMA = "vec_id long, embedding array<float>, rank int"
 
@@ -152,3 +152,65 @@ def test_links_that_the_bound_cut_stay_new(spark):
         left.append(int(((new[:, 0] & 2) > 0)[1:].sum()))
     most = nndescent.REVERSE + k
     assert left[0] >= n - 1 - most and all(0 < a - b <= most for a, b in zip(left, left[1:]))
+
+
+def neighbours(spark, rows, k=20):
+    got = {}
+    for r in nndescent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return {q: sorted(v) for q, v in got.items()}
+
+
+def test_ties_of_many_equal_vectors_and_what_lies_beyond_them(spark):
+    """60 equal vectors are more than a vector has links: the smallest ids win, and longer vectors beside them are still met."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(140, 6))
+    x[40:100] = x[40]
+    x[100:105] = x[40] * 1.5 + 0.01 * rng.normal(size=(5, 6))
+    got = neighbours(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    for q in range(0, 140, 20):
+        s = np.round(x @ x[q], 9)
+        assert [i for _, i, _ in got[q]] == [int(i) for i in np.lexsort((np.arange(140), -s)) if i != q][:20]
+
+
+def test_regions_and_their_parts_keep_recall_in_few_jobs(spark, monkeypatch):
+    """Vectors without any clusters and of unequal norms, in many regions of which the large ones are dealt to parts."""
+    for name, value in {"REGION_ROWS": 100, "LARGEST": 110, "FITTED": 300}.items():
+        monkeypatch.setattr(regions, name, value)
+    x = np.random.default_rng(8).normal(size=(1000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = df.selectExpr("xxhash64(embedding) as h", "embedding as v", "array(vec_id) as ids")
+    asks = index.where("ids[0] % 20 = 0").selectExpr("h", "v", "ids[0] as rep")
+    norm = np.linalg.norm(x, axis=1)
+    space = regions.Space(12, float(norm.max()), False, 20)
+    fit = regions.fitted(index, asks, space, len(x))
+    assert len(fit.parts) == 10 and fit.parts.max() > 1 and 1 < fit.asked <= 10
+    dealt = regions._dealt(index, asks, space, fit).select("region", "kind", F.col("ids")[0].alias("id")).collect()
+    assert sorted(r.id for r in dealt if r.kind == 0) == list(range(1000))
+    spark.sparkContext.setJobGroup("nearest", "")
+    got = neighbours(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest")) < 30
+    spark.sparkContext.setJobGroup("other", "")
+    hits = []
+    for q in range(0, 1000, 20):
+        best = [int(i) for i in np.argsort(-(x @ x[q])) if i != q][:20]
+        assert [r for r, *_ in got[q]] == list(range(1, 21)) and np.allclose([s for *_, s in got[q]], [x[i] @ x[q] for _, i, _ in got[q]])
+        hits.append(len(set(best) & {i for _, i, _ in got[q]}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_descent_and_walks_in_memory():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = descent.graph(x)
+    assert (links != np.arange(3000)[:, None]).all()
+    q, own = x[::30], np.arange(0, 3000, 30)
+    beam = descent.fitting_beam(x, links, q, own, 20, 24)
+    met = descent.walk(x, links, q, own, beam)
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert (met[:, 0] == own).all() and np.mean([np.isin(b, m).mean() for b, m in zip(best, met, strict=True)]) >= descent.REACH
+    assert all(len(set(m[m >= 0].tolist())) == (m >= 0).sum() for m in met)
+    for n in (1, 2, 30):  # all rows, if fewer than the beam
+        small = descent.walk(x[:n], descent.graph(x[:n]), x[:2], np.array([0, -1]), 48)
+        assert np.sort(small, axis=1).tolist() == [list(range(n))] * 2
