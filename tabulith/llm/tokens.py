@@ -16,7 +16,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+import struct
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +51,13 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
 def parts_of(text: str) -> list[str]:
     """The text in parts that encode independently of each other, whatever white space it holds.
 
@@ -69,11 +78,11 @@ def parts_of(text: str) -> list[str]:
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers in bytes.
 
-    What a part encodes to is kept for later texts, with by_letters also what its letters and the rest
-    of it do; both are forgotten by generations. units() encodes what was not there.
+    What a part encodes to is kept for later texts, also what its letters and the rest of it do; both
+    are forgotten by generations. units() encodes what was not there, of many texts in one call.
     """
 
-    by_letters, most = False, KEPT_CHUNKS
+    most = KEPT_CHUNKS
 
     def __init__(self) -> None:
         self.parts: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -87,36 +96,9 @@ class Encoder:
         return ({}, pair[0]) if len(pair[0]) > self.most else pair
 
     def _learned(self, parts: Iterable[str]) -> set[str]:
-        """Keep what distinct parts encode to, each a unit of its own; returned are those that are none: empty, or with white space of their own."""
-        (new, old), feed, odd = self.parts, self.feed, set()
-        fresh: list[str] = []
-        units: list[str] = []
-        for part in parts:
-            got = old.get(part)
-            if got is not None:
-                new[part] = got
-                continue
-            head = part[:1]
-            if head == "\0":
-                own = part
-            elif head == "\n":
-                own = part[1:]
-            else:
-                own = " " + part
-            if head != "\0" and (len(part) < 1 + (head == "\n") or _ODD.search(part, head == "\n")):
-                odd.add(part)
-                continue
-            fresh.append(part)
-            units.append(own)
-        if units:
-            for part, ids in zip(fresh, self.units(units), strict=True):
-                new[part] = feed + ids if part[0] == "\n" else ids
-        return odd
-
-    def _learned_by_letters(self, parts: Iterable[str]) -> set[str]:
-        """The same for encoders to which a unit is dear: letters and the punctuation after them are units of their own.
+        """Keep what distinct parts encode to; returned are those that are none: empty, or with white space of their own.
 
-        Keep what distinct parts encode to; returned are those that are none: empty, or with white space of their own."""
+        Letters and the punctuation after them are units of their own."""
         (new, old), (kept, before), feed = self.parts, self.kept, self.feed
         odd: set[str] = set()
         whole: list[tuple[str, str]] = []
@@ -168,9 +150,8 @@ class Encoder:
         new = self.parts[0]
         every = [list(map(new.get, parts)) for parts in split]
         open_ = {k: [i for i, x in enumerate(ids) if x is None] for k, ids in enumerate(every) if not all(ids)}
-        learned = self._learned_by_letters if self.by_letters else self._learned
         fresh = dict.fromkeys(split[k][i] for k, at in open_.items() for i in at)
-        odd = learned(fresh) if fresh else set()
+        odd = self._learned(fresh) if fresh else set()
         for k, at in open_.items():
             for i in at:
                 every[k][i] = new.get(split[k][i], b"")
@@ -189,8 +170,35 @@ class Encoder:
         return out
 
 
-class LibraryEncoder(Encoder):
-    """units() by the tokenizers library, many in one call."""
+class Known(dict[str, bytes]):
+    """What parts encode to: of one generation, from the one before it, or by first() once a part is asked for.
+
+    A part for which first() has None is not kept; it sets odd.
+    """
+
+    def __init__(self, first: Callable[[str], bytes | None], before: dict[str, bytes]):
+        super().__init__()
+        self.first, self.before, self.odd = first, before, False
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.before.get(part)
+        if got is None:
+            got = self.first(part)
+            if got is None:
+                self.odd = True
+                return b""
+        self[part] = got
+        return got
+
+
+class LibraryEncoder:
+    """The same by the tokenizers library: its model gets words of letters as they are, its whole pipeline all other parts.
+
+    A word, with the space before it, is one piece to the byte-level pre-tokenizer, so the model's tokens are its
+    encoding. A part of letters and the punctuation after them is the sum of both.
+    """
+
+    most = KEPT_CHUNKS
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -204,37 +212,53 @@ class LibraryEncoder(Encoder):
         self.plain = about.get("normalizer") is not None or (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) != ("ByteLevel", False, True)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bits = max(1, max(vocabulary.values()).bit_length())
-        self.spaced = np.zeros(1 << self.bits, bool)
-        self.spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
+        # an added token could stand in a word, or reach from it into what follows
+        self.by_words = not any(t["content"][:1].isalpha() or t["content"][:1].isspace() for t in about.get("added_tokens") or [])
+        self.letters = {c for c in map(chr, range(0x10000)) if c.isalpha() and unicodedata.ucd_3_2_0.category(c)[0] == "L"}
+        self.shown = {b: c for c, b in byte_letters().items()}
+        self.tokenize = self.tokenizer.model.tokenize
         if not self.plain:
-            super().__init__()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self._ids(texts) if self.plain else super().encode(texts)
+            self.feed = self._ids(["\n"])[0]
+            self.known = Known(self._first, {})
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, units: list[str]) -> list[bytes]:
-        """Units that begin with a space follow each other as one text, the others are lines of one; their first tokens tell them apart."""
-        out: list[bytes] = [b""] * len(units)
-        spaced = [k for k, u in enumerate(units) if u[0] == " "]
-        lines = [k for k, u in enumerate(units) if u[0] not in " \0"]
-        odd = [k for k, u in enumerate(units) if u[0] == "\0"]
-        for which, join in ((spaced, "".join), (lines, lambda x: "\n" + "\n".join(x))):
-            for a in range(0, len(which), 2000):
-                some = which[a : a + 2000]
-                ids = np.array(self.tokenizer.encode_batch_fast([join([units[k] for k in some])], add_special_tokens=False)[0].ids, "<u4")
-                first = np.flatnonzero(self.spaced[ids] if which is spaced else ids == np.frombuffer(self.feed, "<u4")[0])
-                if len(first) != len(some):
-                    odd += some
-                    continue
-                raw, at = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
-                skip = 0 if which is spaced else 4
-                for k, i, j in zip(some, at[:-1], at[1:], strict=True):
-                    out[k] = raw[i + skip : j]
-        for k, ids in zip(odd, self._ids([units[k].removeprefix("\0") for k in odd]), strict=True):
-            out[k] = ids
+    def _first(self, part: str) -> bytes | None:
+        """What a part encodes to; None if it is none: empty, or with white space of its own."""
+        line = part[:1] == "\n"
+        body = part[1:] if line else part
+        stem = body.rstrip(_TAIL)
+        # letters of an old Unicode version, which are letters to the library too
+        if self.by_words and stem.isalpha() and (stem.isascii() or self.letters.issuperset(stem)):
+            if len(stem) < len(body):
+                return self.known[part[: len(stem) - len(body)]] + self.known["\0" + body[len(stem) :]]
+            word = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.shown)
+            ids = [t.id for t in self.tokenize(word if line else "\u0120" + word)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            return self.feed + got if line else got
+        if part[:1] == "\0":
+            return self._ids([part[1:]])[0]
+        if not body or _ODD.search(body):
+            return None
+        return self.feed + self._ids([body])[0] if line else self._ids([" " + body])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.plain:
+            return self._ids(texts)
+        if len(self.known) > self.most:
+            self.known.before = {}
+            self.known = Known(self._first, self.known)
+        known, skip, out = self.known, len(self.feed), []
+        ids_of = known.__getitem__
+        for text in texts:
+            known.odd = "\0" in text
+            ids = b"".join(map(ids_of, ("\n" + text).replace("\n", " \n")[1:].split(" "))) if text and not known.odd else b""
+            if known.odd:  # with other white space than single spaces and line feeds
+                known["\n"] = self.feed
+                ids = b"".join(map(ids_of, parts_of(text)))
+                del known["\n"]
+            out.append(ids[skip:])
         return out
 
 

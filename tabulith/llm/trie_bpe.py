@@ -27,17 +27,10 @@ from tabulith.llm import _spark, tokens
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
-
-
 class TrieEncoder(tokens.Encoder):
     """units() by the trie walk; decode() by the tokens' bytes."""
 
-    by_letters, most = True, 350_000
+    most = 350_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -45,7 +38,7 @@ class TrieEncoder(tokens.Encoder):
         model, before = about["model"], about.get("pre_tokenizer") or {}
         if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or about.get("normalizer"):
             raise ValueError("only byte-level BPE without a normalizer or a prefix space is encoded here")
-        letters = byte_letters()
+        letters = tokens.byte_letters()
         raw = {t: bytes(letters[c] for c in t) for t in model["vocab"]}
         self.ids = {raw[t]: i for t, i in model["vocab"].items()}
         self.rank = {}
